@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, table
+from .common import chunks, map_arrow, materialize, table
 
 #: Bytes of an anchor's string, bytes of a segment of a long text, and classes of spans that one task sorts for an anchor.
 GRAM, SEGMENT, MOST_CLASSES = 40, 1 << 19, 20_000
@@ -190,6 +190,8 @@ def repeated_windows(data: np.ndarray, begin: np.ndarray, before: np.ndarray, mo
 
 def _runs(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(span, first, last) of runs of consecutive windows."""
+    if not len(item):
+        return item, window, window
     by = np.lexsort((window, item))
     item, window = item[by], window[by]
     first = np.concatenate(([True], (item[1:] != item[:-1]) | (window[1:] != window[:-1] + 1)))[: len(item)]
@@ -317,22 +319,22 @@ def remove_repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", tex
         raise ValueError(f"length must be over {GRAM} and at most {GRAM + 255}")
     key_type = docs.schema[key].dataType
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("k"), F.hash(F.col(key), F.col(text)).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    anchors = texts.mapInArrow(_anchors(length), "gram long, kind long, k long, th int, place long")
+    anchors = map_arrow(texts, _anchors(length), "gram long, kind long, k long, th int, place long")
     again = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     shared = materialize(anchors.join(again, "gram"), "anchors")
     classes = materialize(shared.groupBy("gram", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "th", "place")).alias("one")), "spans")
     whole = shared.join(classes.filter("n > 1").select("gram", "kind"), ["gram", "kind"]).select("k", "th", F.shiftright("place", 16).alias("low"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(255)).alias("high"))
     several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     wanted = classes.join(several, "gram").select("one.k", "one.th", F.struct("gram", "one.place", (F.col("classes") > most_classes).alias("hot")).alias("x")).groupBy("k", "th").agg(F.collect_list("x").alias("wanted"))
-    cut = materialize(texts.join(wanted, ["k", "th"]).mapInArrow(_cut(length), "gram long, k long, th int, place long, hot boolean, bytes binary"), "cut")
+    cut = materialize(map_arrow(texts.join(wanted, ["k", "th"]), _cut(length), "gram long, k long, th int, place long, hot boolean, bytes binary"), "cut")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = cut.filter("not hot").drop("hot").repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_sort_spans(length), "k long, th int, low long, high long")
-    windows = cut.filter("hot").mapInArrow(_windows(length), "digest binary, k long, th int, start long")
+    sorted_ = map_arrow(cut.filter("not hot").drop("hot").repartition(parts, "gram").sortWithinPartitions("gram"), _sort_spans(length), "k long, th int, low long, high long")
+    windows = map_arrow(cut.filter("hot"), _windows(length), "digest binary, k long, th int, start long")
     often = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
     dealt = windows.join(often, "digest").select("k", "th", F.col("start").alias("low"), F.col("start").alias("high"))
     ranges = whole.unionByName(sorted_).unionByName(dealt).groupBy("k", "th").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
     schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, removed array<array<long>>" * with_text
-    told = texts.join(ranges, ["k", "th"], "left").select("k", "text", "ranges").mapInArrow(_report(length, with_text), schema)
+    told = map_arrow(texts.join(ranges, ["k", "th"], "left").select("k", "text", "ranges"), _report(length, with_text), schema)
     return told.select(F.when(F.col("k") != _NO_ID, F.col("k")).cast(key_type).alias(key), *told.columns[1:])
 
 
