@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, map_arrow
 
 _GONE = -1
 
@@ -171,7 +171,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     kept = docs.drop(*[c for c in docs.columns if c in outputs and c != text])
     schema = T.StructType([*[x for x in kept.schema.fields if x.name not in outputs], *[T.StructField(n, _TYPES[n]) for n in outputs]])
-    return kept.mapInArrow(_encoder(vocabulary, pattern, text, list(outputs), schema.names), schema)
+    return map_arrow(kept, _encoder(vocabulary, pattern, text, list(outputs), schema.names), schema)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
@@ -187,7 +187,7 @@ def decode(encoded: DataFrame, vocabulary_path: str, ids: str = "ids", output: s
             made = [None if x is None else b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in part.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

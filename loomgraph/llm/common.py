@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Word separators of all contracts: space and \t to \r.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -48,9 +49,18 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Columns that tell documents apart even when an id is null or repeated: the id and a digest of the text."""
-    return [F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th")]
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``, after this package has been sent to the executors, which need not have it installed."""
+    sc = df.sparkSession.sparkContext
+    if not hasattr(sc, "_loomgraph_sent"):
+        package = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp(prefix="loomgraph-package-")) / "loomgraph.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(path))
+        sc._loomgraph_sent = True
+    return df.mapInArrow(run, schema)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:

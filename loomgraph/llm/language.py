@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table
+from .common import chunks, map_arrow, table
 
 _SPACE = 32
 
@@ -75,7 +75,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         for name, ((grams, sums),) in totals.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(sums)], names=["lang", "gram", "n"])
 
-    counted = sample.select("_lang", "_text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_arrow(sample.select("_lang", "_text"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = counted.withColumn("rank", rank).filter(F.col("rank") <= size).collect()
     profiles: dict[str, list[int]] = {}
@@ -120,7 +120,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
             found = [known.nearest(x) for x in part.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:

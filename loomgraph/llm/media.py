@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialize, table
+from .common import chunks, map_arrow, materialize, table
 
 #: The width of a stored image: payloads are padded to whole rows of it.
 WIDTH = 64
@@ -120,7 +120,7 @@ def parse_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
         for part in chunks(batches, html):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([page_items(x) for x in part.column(1).to_pylist()], kind)], names=schema.names)
 
-    return wanted.mapInArrow(run, schema)
+    return map_arrow(wanted, run, schema)
 
 
 def as_image(content: Column) -> Column:
@@ -175,7 +175,7 @@ def read_payloads(stored: DataFrame) -> DataFrame:
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    read = stored.select("digest", "media").mapInArrow(run, _PAYLOAD)
+    read = map_arrow(stored.select("digest", "media"), run, _PAYLOAD)
     return read.groupBy("digest").agg(*[F.first(c).alias(c) for c in read.columns[1:]])
 
 

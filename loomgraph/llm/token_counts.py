@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, map_arrow
 
 
 def byte_letters() -> list[str]:
@@ -175,7 +175,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int, text: str =
                 columns["prefix_tokens"] = pa.array([counter.cumulated(x) for x in texts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([columns[n] if n in new else part.column(n) for n in schema.names], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
