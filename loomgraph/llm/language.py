@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, map_arrow, table
+from .common import chunks, map_arrow, materialize, table
 
 _SPACE = 32
+#: Rows of picked keys up to which they are broadcast.
+MOST_BROADCAST = 200_000
 
 
 @cache
@@ -53,14 +55,16 @@ def _top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return grams[np.lexsort((grams, -counts))[:size]]
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 2000, size: int = 300) -> dict[str, list[int]]:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 1000, size: int = 300) -> dict[str, list[int]]:
     """The profiles of the languages of ``lang``, from ``per_language`` documents of each at most, those of the smallest hash of their key.
 
     ``per_language`` and ``size`` bound what is read and what reaches the driver; rows with null text or lang are left out."""
     labelled = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
     order = Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key")
     picked = labelled.select(F.col(lang).alias("_lang"), F.col(key).alias("_key")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
-    sample = labelled.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.col(text).alias("_text")).join(picked.select("_lang", "_key").distinct(), ["_lang", "_key"], "left_semi")
+    picked = materialize(picked.select("_lang", "_key").distinct(), "picked")
+    few = F.broadcast if picked.count() <= MOST_BROADCAST else lambda x: x
+    sample = labelled.select(F.col(lang).alias("_lang"), F.col(key).alias("_key"), F.col(text).alias("_text")).join(few(picked), ["_lang", "_key"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list] = {}
