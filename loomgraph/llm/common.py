@@ -34,7 +34,7 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and executors can be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomgraph_path = path
     return out
