@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, map_arrow, materialize, table
-from .similar import linked_components, shared_buckets
+from .similar import linked_components, most_unequal, shared_buckets, unequal_bits
 from .substrings import Prefixes, _mixed
 
 BANDS, ROWS = 32, 4
@@ -92,6 +92,29 @@ def _sets(words: int):
     return run
 
 
+#: 1-bit min-hashes of the candidates that the pivots leave open.
+FINE = 2048
+
+
+def _fine():
+    """2048 1-bit min-hashes of a set, as longs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(7)
+        times = rng.integers(0, 1 << 63, FINE, np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            out = []
+            for elements in batch.column("elements"):
+                values = elements.values.to_numpy().view(np.uint64)
+                least = np.full(FINE, np.iinfo(np.uint64).max)
+                for k in range(0, len(values), 256):
+                    least = np.minimum(least, (values[k : k + 256, None] * times).min(0))
+                out.append(np.packbits((_mixed(least) & np.uint64(1)).astype(np.uint8)).view(">i8").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["id", "fine"])
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row: the size of its set, the smallest id reachable by links, and whether that is its own."""
     key_type = docs.schema[key].dataType
@@ -102,7 +125,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     wanted = members.select("id").distinct().join(classes.select("id", "th"), "id")
     found = texts.join(wanted, ["id", "th"]).groupBy("id").agg(F.first("text").alias("text"))
     sets = materialize(map_arrow(found, _sets(words), "id long, elements array<long>"), "sets")
-    near = linked_components(classes.select("id", "n", "bits").dropDuplicates(["id"]), members, sets, percent)
+    items = classes.select("id", "n", "bits", F.col("bands").alias("buckets")).dropDuplicates(["id"])
+    finer = lambda x: map_arrow(x, _fine(), "id long, fine array<long>")
+    near = linked_components(items, members, sets, percent, 128, finer, lambda x, y: unequal_bits(x, y, FINE) <= most_unequal(FINE, percent))
     # an id of several rows, or several ids of one class, may tie components together
     of_class = sketches.filter("n > 0").select("id", "digest").distinct().join(classes.select("digest", F.col("id").alias("rep")), "digest").join(near.select(F.col("id").alias("rep"), "component"), "rep", "left")
     told = materialize(of_class.select("id", F.coalesce("component", "rep").alias("component")).distinct(), "told")

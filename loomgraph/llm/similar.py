@@ -6,7 +6,7 @@ group's pairs are all emitted:
 1. Every member of a bucket is paired with one pivot of it, the member with the smallest share of elements that no other candidate
    has.  Bounds rule pairs out, the others are confirmed on the full sets, and the links' components are found.
 2. Buckets whose members are in one component need nothing more.  In the others, members of different components are compared by
-   the same bounds, and what passes is confirmed on the full sets.
+   the same bounds and by a finer one that the caller has, in the first bucket that they share, and what passes is confirmed on the full sets.
 
 The bounds: sizes must allow the similarity; so must the elements that occur in two candidates at all (an element of one candidate only
 is in no intersection); and the packed min-hashes must agree as far as a similarity at the threshold would bring about within 4.5 standard deviations.
@@ -15,6 +15,7 @@ is in no intersection); and the packed min-hashes must agree as far as a similar
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +30,23 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return buckets.join(several, "bucket").select("id", "bucket")
 
 
+def unequal_bits(x: Column, y: Column, n_bits: int) -> Column:
+    """The number of unequal bits of two arrays of longs."""
+    return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(n_bits // 64)), F.lit(0))
+
+
+def most_unequal(n_bits: int, percent: int, deviations: float = 4.5) -> int:
+    """The number of unequal 1-bit min-hashes that a pair at the similarity passes with a probability of less than 1e-5."""
+    p = (1 - percent / 100) / 2
+    return math.floor(n_bits * p + deviations * math.sqrt(n_bits * p * (1 - p)))
+
+
 def _could_link(x: str, y: str, percent: int, n_bits: int) -> Column:
     """Whether two items can have the similarity, by sizes, shared elements and packed min-hashes."""
     n = lambda s: F.col(f"{s}.n")
-    t = percent / 100
     largest = F.least(f"{x}.shared", f"{y}.shared")
-    most_unequal = math.floor(n_bits * (1 - t) / 2 + 4.5 * math.sqrt(n_bits * (1 - t) / 2 * (1 + t) / 2))
-    unequal = sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(n_bits // 64)), F.lit(0))
-    return (100 * F.least(n(x), n(y)) >= percent * F.greatest(n(x), n(y))) & (100 * largest >= percent * (n(x) + n(y) - largest)) & (unequal <= most_unequal)
+    unequal = unequal_bits(F.col(f"{x}.bits"), F.col(f"{y}.bits"), n_bits)
+    return (100 * F.least(n(x), n(y)) >= percent * F.greatest(n(x), n(y))) & (100 * largest >= percent * (n(x) + n(y) - largest)) & (unequal <= most_unequal(n_bits, percent))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -51,10 +61,11 @@ def _pairs(x: DataFrame, percent: int, n_bits: int) -> DataFrame:
     return x.filter(_could_link("x", "y", percent, n_bits)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def linked_components(items: DataFrame, members: DataFrame, sets: DataFrame, percent: int = 80, n_bits: int = 128) -> DataFrame:
+def linked_components(items: DataFrame, members: DataFrame, sets: DataFrame, percent: int, n_bits: int, finer: Callable[[DataFrame], DataFrame], could_be: Callable[[Column, Column], Column]) -> DataFrame:
     """(id, component) of the items that have a link: two items link if their sets' Jaccard similarity is ``percent`` or more.
 
-    items: (id, n, bits), an id once; members: ``shared_buckets``; sets: (id, elements) of the members, elements distinct."""
+    items: (id, n, bits, buckets), an id once; members: ``shared_buckets``; sets: (id, elements) of the members, elements distinct.
+    finer: makes (id, fine) of rows of sets, could_be: a condition on two values of fine that every link meets."""
     elements = sets.select("id", F.explode("elements").alias("e"))
     alone = elements.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).filter("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
     candidates = sets.select("id").join(alone, "id", "left").join(items, "id").select("id", "n", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
@@ -65,11 +76,16 @@ def linked_components(items: DataFrame, members: DataFrame, sets: DataFrame, per
     found = components(star)
     parts = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     open_ = parts.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    rest = materialize(parts.join(open_, "bucket").join(about, "id").select("bucket", "component", "x"), "open")
-    pairs = rest.join(rest.select("bucket", F.col("component").alias("other"), F.col("x").alias("y")), "bucket").filter("x.id < y.id and component <> other")
-    more = materialize(_confirmed(_pairs(pairs, percent, n_bits), sets, percent), "links")
+    open_rows = materialize(parts.join(open_, "bucket"), "open")
+    asked = open_rows.select("id").distinct()
+    fine = materialize(finer(sets.join(asked, "id")).join(items.select("id", "buckets"), "id").select("id", F.struct("fine", "buckets").alias("z")), "fine")
+    rest = open_rows.join(about, "id").join(fine, "id").select("bucket", "component", "x", "z")
+    others = rest.select("bucket", F.col("component").alias("other"), F.col("x").alias("y"), F.col("z").alias("u"))
+    first_shared = F.array_min(F.array_intersect("z.buckets", "u.buckets")) == F.col("bucket")
+    pairs = rest.join(others, "bucket").filter((F.col("x.id") < F.col("y.id")) & (F.col("component") != F.col("other")) & _could_link("x", "y", percent, n_bits) & could_be(F.col("z.fine"), F.col("u.fine")) & first_shared)
+    more = materialize(_confirmed(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), sets, percent), "links")
     if not more.isEmpty():
         found = components(star.unionByName(more))
-    for x in (rest, more):
+    for x in (open_rows, fine, more):
         discard(x)
     return found
