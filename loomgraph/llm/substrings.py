@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks, map_arrow, materialize, table
 
 #: Bytes of an anchor's string, bytes of a segment of a long text, and classes of spans that one task sorts for an anchor.
-GRAM, SEGMENT, MOST_CLASSES = 40, 1 << 19, 20_000
+GRAM, SEGMENT, MOST_CLASSES = 40, 1 << 19, 10_000
 _NO_ID = -(1 << 63)
 _POSITION = np.uint64((1 << 20) - 1)
 
@@ -47,7 +47,7 @@ class Prefixes:
             rng = np.random.default_rng(seed)
             values = rng.integers(0, 1 << 64, 256, np.uint64)
             base = int(rng.integers(0, 1 << 63)) * 8 + 5 & (1 << 64) - 1
-            size = 1 << (n + 1).bit_length()
+            size = n + n // 4 + 1024
             up, down = (np.full(size, b, np.uint64) for b in (base, pow(base, -1, 1 << 64)))
             for x in (up, down):
                 x[0] = 1
@@ -237,7 +237,7 @@ def _cut(length: int):
     return run
 
 
-def _sort_spans(length: int, most: int = 20_000):
+def _sort_spans(length: int, most: int = 5_000):
     """Over rows sorted by anchor: sorts whole groups of spans, about ``most`` spans at a time."""
 
     def work(rows: pa.Table) -> pa.RecordBatch:
