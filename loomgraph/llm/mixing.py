@@ -42,11 +42,12 @@ def _bucket(token: Column) -> Column:
     return F.xxhash64(token).bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_domain: int = 10_000, least_documents: int = 5, least_deviation: float = 5.0) -> tuple[DataFrame, list[float]]:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_domain: int = 10_000, least_share: float = 0.02, least_deviation: float = 5.0) -> tuple[DataFrame, list[float]]:
     """The weights (bucket, w0, w1, ...) and the domains' priors, from labels (key, domain).
 
     A token's weight for a domain compares its share of the domain's (document, token) pairs with its share of all; only tokens count that some
-    domain has ``least_deviation`` standard deviations more or less often than expected."""
+    domain has ``least_deviation`` standard deviations more or less often than expected and that ``least_share`` of a domain's documents
+    have, so that the words of one group of copies don't count as evidence."""
     clean = labels.filter(F.col("domain").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("domain").alias("domain"))
     picked = None
     for i in range(len(DOMAINS)):
@@ -58,6 +59,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     per = [F.sum((F.col("domain") == i).cast("long")).alias(f"n{i}") for i in range(len(DOMAINS))]
     counted = own.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*per)
     counted = materialize(counted, "counted")
+    found = told.groupBy("domain").count().collect()
+    n = [sum(r["count"] for r in found if r["domain"] == i) for i in range(len(DOMAINS))]
     mass = [float(x or 0) for x in counted.agg(*[F.sum(f"n{i}") for i in range(len(DOMAINS))]).first()]
     share = clean.groupBy("domain").count().collect()
     sizes = [sum(r["count"] for r in share if r["domain"] == i) for i in range(len(DOMAINS))]
@@ -66,7 +69,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     weights = [(F.log((F.col(f"n{i}") + 0.5) / (mass[i] + smoothed)) - F.log((total + 0.5) / (sum(mass) + smoothed))).alias(f"w{i}") for i in range(len(DOMAINS))]
     expected = [total * (m / max(sum(mass), 1.0)) for m in mass]
     clear = F.greatest(*[F.abs(F.col(f"n{i}") - e) / F.sqrt(e + 1) for i, e in enumerate(expected)]) >= least_deviation
-    table_ = counted.filter((total >= least_documents) & clear).select("bucket", *weights)
+    common = F.greatest(*[F.col(f"n{i}") / max(x, 1) for i, x in enumerate(n)]) >= least_share
+    table_ = counted.filter(common & clear).select("bucket", *weights)
     return materialize(table_, "weights"), [(x + 1) / (sum(sizes) + len(DOMAINS)) for x in sizes]
 
 
