@@ -69,12 +69,14 @@ def linked_components(items: DataFrame, members: DataFrame, sets: DataFrame, per
     elements = sets.select("id", F.explode("elements").alias("e"))
     alone = elements.groupBy("e").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).filter("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
     candidates = sets.select("id").join(alone, "id", "left").join(items, "id").select("id", "n", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    # an item links only if another candidate has the share of its elements that the similarity asks for
+    candidates = candidates.filter(100 * F.col("shared") >= percent * F.col("n"))
     about = materialize(candidates.select("id", F.struct("id", "n", "shared", "bits").alias("x")), "candidates")
     told = members.join(about, "id").select("bucket", "x")
     pivots = told.groupBy("bucket").agg(F.min(F.struct((-F.col("x.shared") / F.col("x.n")).alias("order"), F.col("x.id").alias("id"), F.col("x").alias("y"))).alias("p")).select("bucket", "p.y")
     star = materialize(_confirmed(_pairs(told.join(pivots, "bucket").filter("x.id <> y.id"), percent, n_bits), sets, percent), "links")
     found = components(star)
-    parts = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    parts = told.select("bucket", "x.id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     open_ = parts.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     open_rows = materialize(parts.join(open_, "bucket"), "open")
     asked = open_rows.select("id").distinct()
