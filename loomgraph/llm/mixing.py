@@ -23,9 +23,10 @@ from .common import materialize, table
 from .quality import _NO_ID, _identity
 
 DOMAINS = ("good", "plain", "toxic")
-WEIGHTS = {"good": 0.8, "plain": 0.2, "toxic": 0.0}
-#: Hash buckets of tokens; the weights' table has as many rows at most.
-BUCKETS = 1 << 16
+WEIGHTS = {"good": 0.75, "plain": 0.2, "toxic": 0.05}
+_SYMBOLS = "#*$%&|!?"
+#: Hash buckets of tokens.
+BUCKETS = 1 << 24
 
 
 def label_domain(quality: Column, toxic: Column) -> Column:
@@ -34,20 +35,26 @@ def label_domain(quality: Column, toxic: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Runs of letters, and runs of other characters that are not white space."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+|[^\p{L}\x20\x09-\x0D]+"), F.lit(0))
+    """Words in lower case: full stops, commas and line ends part words like spaces do, each symbol of ``_SYMBOLS`` is a word."""
+    one = F.lower(F.coalesce(text, F.lit("")))
+    for x in ".,\n":
+        one = F.replace(one, F.lit(x), F.lit(" "))
+    for x in _SYMBOLS:
+        one = F.replace(one, F.lit(x), F.lit(f" {x} "))
+    return F.array_remove(F.split(one, " "), "")
 
 
 def _bucket(token: Column) -> Column:
     return F.xxhash64(token).bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_domain: int = 10_000, least_share: float = 0.02, least_deviation: float = 5.0) -> tuple[DataFrame, list[float]]:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", per_domain: int = 10_000, least_share: float = 0.05, least_deviation: float = 5.0, least_evidence: float = 0.5, most_evidence: float = 3.0) -> tuple[DataFrame, list[float]]:
     """The weights (bucket, w0, w1, ...) and the domains' priors, from labels (key, domain).
 
     A token's weight for a domain compares its share of the domain's (document, token) pairs with its share of all; only tokens count that some
     domain has ``least_deviation`` standard deviations more or less often than expected and that ``least_share`` of a domain's documents
-    have, so that the words of one group of copies don't count as evidence."""
+    have, so that the words of one group of copies don't count as evidence; its weights must differ by ``least_evidence``
+    and are held within ``most_evidence``, so that no single token decides."""
     clean = labels.filter(F.col("domain").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min("domain").alias("domain"))
     picked = None
     for i in range(len(DOMAINS)):
@@ -71,22 +78,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     clear = F.greatest(*[F.abs(F.col(f"n{i}") - e) / F.sqrt(e + 1) for i, e in enumerate(expected)]) >= least_deviation
     common = F.greatest(*[F.col(f"n{i}") / max(x, 1) for i, x in enumerate(n)]) >= least_share
     table_ = counted.filter(common & clear).select("bucket", *weights)
+    names = [f"w{i}" for i in range(len(DOMAINS))]
+    table_ = table_.filter(F.greatest(*names) - F.least(*names) >= least_evidence)
+    table_ = table_.select("bucket", *[F.greatest(F.lit(-most_evidence), F.least(F.lit(most_evidence), w)).alias(w) for w in names])
     return materialize(table_, "weights"), [(x + 1) / (sum(sizes) + len(DOMAINS)) for x in sizes]
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k, th, n_tokens, p0, p1, ...) for each document by ``_identity``: its tokens and its posterior.
 
-    The weights have at most ``BUCKETS`` rows, so they are broadcast."""
+    Every weight is of a token that a twentieth of a domain's labelled documents have, so there are at most twenty times as many as such a
+    document has tokens on average, however large the corpus is: they are broadcast."""
     import math
 
-    exploded = docs.select(*_identity(key, text), F.explode_outer(_tokens(F.col(text))).alias("token")).select("k", "th", _bucket(F.col("token")).alias("bucket"), F.col("token").isNotNull().cast("long").alias("one"))
+    tokens = docs.select(*_identity(key, text), _tokens(F.col(text)).alias("tokens")).select("k", "th", F.size("tokens").cast("long").alias("n"), F.posexplode_outer("tokens").alias("place", "token"))
+    exploded = tokens.select("k", "th", "n", _bucket(F.col("token")).alias("bucket"), (F.coalesce("place", F.lit(0)) == 0).alias("first"))
     joined = exploded.join(F.broadcast(weights.withColumnRenamed("bucket", "b")), F.col("bucket") == F.col("b"), "left")
     names = [f"w{i}" for i in range(len(DOMAINS))]
-    once = joined.groupBy("k", "th", "b").agg(F.sum("one").alias("n"), *[F.max(w).alias(w) for w in names])
+    # one row of each document stays, and those of evidence
+    once = joined.filter(F.col("first") | F.col("b").isNotNull()).groupBy("k", "th", "n", "b").agg(*[F.max(w).alias(w) for w in names])
     # whole numbers add up alike in any order
     whole = lambda c: F.coalesce(F.round(F.col(c) * 1e6).cast("long"), F.lit(0))
-    added = once.groupBy("k", "th").agg(F.sum("n").alias("n_tokens"), F.count("b").alias("hits"), *[F.sum(whole(w)).alias(w) for w in names])
+    added = once.groupBy("k", "th").agg(F.max("n").alias("n_tokens"), F.count("b").alias("hits"), *[F.sum(whole(w)).alias(w) for w in names])
     damped = [F.col(w) / 1e6 / F.sqrt(F.greatest(F.lit(1.0), F.col("hits") / 16)) + F.lit(math.log(p)) for w, p in zip(names, priors, strict=True)]
     logits = added.select("k", "th", "n_tokens", *[x.alias(f"l{i}") for i, x in enumerate(damped)])
     most = F.greatest(*[f"l{i}" for i in range(len(DOMAINS))])
@@ -103,7 +116,7 @@ def _largest_eigenvalue(m: list[list[float]]) -> float:
     return size
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], most_iterations: int = 60, tolerance: float = 0.002) -> tuple[Column, dict]:
+def fit_rates(members: DataFrame, weights: dict[str, float], most_iterations: int = 40, tolerance: float = 0.005) -> tuple[Column, dict]:
     """The rate as a column over (n_tokens, p0, ...), and a report: iterations, targets, and totals before and after.
 
     A target is the domain's share of all tokens; targets are given as weights, which need not add up to 1."""
