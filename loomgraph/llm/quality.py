@@ -110,8 +110,10 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host:
     columns = docs.columns
     lines = frequent_lines(docs, key, text, host, min_documents, share).groupBy("k", "th").agg(F.sum("n_words").alias("gone"), F.collect_set("line").alias("gone_lines"))
     base = base_features(docs, text, F.struct(*[F.col(c) for c in columns]), *_identity(key, text)).select(F.col("_k0").alias("row"), F.col("_k1").alias("k"), F.col("_k2").alias("th"), "n_words", "n_repeat_words")
-    passed = base.filter((F.col("n_words") >= min_words) & (100 * F.col("n_repeat_words") <= repeat_percent * F.col("n_words"))).select("row", "k", "th", "n_words")
-    told = passed.join(lines, ["k", "th"], "left").filter(100 * (F.col("n_words") - F.coalesce("gone", F.lit(0))) >= keep_percent * F.col("n_words"))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
+    # one condition on both sides of the join: the optimizer would copy the base figures' expressions into a filter below it
+    enough = F.when(failed, F.lit(False)).otherwise(100 * (F.col("n_words") - F.coalesce("gone", F.lit(0))) >= keep_percent * F.col("n_words"))
+    told = base.join(lines, ["k", "th"], "left").filter(enough)
     left = F.when(F.col("gone_lines").isNull(), F.col("row")[text]).otherwise(F.array_join(F.filter(F.split(F.col("row")[text], "\n"), lambda x: ~F.coalesce(F.array_contains("gone_lines", line_hash(x)), F.lit(False))), "\n"))
     cleaned = told.select("row", left.alias("left"))
     new = {text: F.col("left")} | ({n_chars: F.char_length("left").cast(docs.schema[n_chars].dataType)} if n_chars in columns else {})
