@@ -91,15 +91,15 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], key: st
     document has tokens on average, however large the corpus is: they are broadcast."""
     import math
 
-    tokens = docs.select(*_identity(key, text), _tokens(F.col(text)).alias("tokens")).select("k", "th", F.size("tokens").cast("long").alias("n"), F.posexplode_outer("tokens").alias("place", "token"))
-    exploded = tokens.select("k", "th", "n", _bucket(F.col("token")).alias("bucket"), (F.coalesce("place", F.lit(0)) == 0).alias("first"))
-    joined = exploded.join(F.broadcast(weights.withColumnRenamed("bucket", "b")), F.col("bucket") == F.col("b"), "left")
+    tokens = docs.select(*_identity(key, text), _tokens(F.col(text)).alias("tokens")).select("k", "th", F.size("tokens").cast("long").alias("n"), F.array_distinct("tokens").alias("tokens"))
+    exploded = tokens.select("k", "th", "n", F.posexplode_outer("tokens").alias("place", "token")).select("k", "th", "n", _bucket(F.col("token")).alias("bucket"), (F.coalesce("place", F.lit(0)) == 0).alias("first"))
     names = [f"w{i}" for i in range(len(DOMAINS))]
-    # one row of each document stays, and those of evidence
-    once = joined.filter(F.col("first") | F.col("b").isNotNull()).groupBy("k", "th", "n", "b").agg(*[F.max(w).alias(w) for w in names])
     # whole numbers add up alike in any order
-    whole = lambda c: F.coalesce(F.round(F.col(c) * 1e6).cast("long"), F.lit(0))
-    added = once.groupBy("k", "th").agg(F.max("n").alias("n_tokens"), F.count("b").alias("hits"), *[F.sum(whole(w)).alias(w) for w in names])
+    whole = weights.select(F.col("bucket").alias("b"), *[F.round(F.col(w) * 1e6).cast("long").alias(w) for w in names])
+    joined = exploded.join(F.broadcast(whole), F.col("bucket") == F.col("b"), "left")
+    # a document's first row stays, and those of evidence; all of them are in one task, so one row of the document is shuffled
+    told = joined.filter(F.col("first") | F.col("b").isNotNull())
+    added = told.groupBy("k", "th", F.col("n").alias("n_tokens")).agg(F.count("b").alias("hits"), *[F.coalesce(F.sum(w), F.lit(0)).alias(w) for w in names])
     damped = [F.col(w) / 1e6 / F.sqrt(F.greatest(F.lit(1.0), F.col("hits") / 16)) + F.lit(math.log(p)) for w, p in zip(names, priors, strict=True)]
     logits = added.select("k", "th", "n_tokens", *[x.alias(f"l{i}") for i, x in enumerate(damped)])
     most = F.greatest(*[f"l{i}" for i in range(len(DOMAINS))])
