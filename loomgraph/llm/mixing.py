@@ -23,7 +23,8 @@ from .common import materialize, table
 from .quality import _NO_ID, _identity
 
 DOMAINS = ("good", "plain", "toxic")
-WEIGHTS = {"good": 0.75, "plain": 0.2, "toxic": 0.05}
+#: Target weights, as multiples of the domains' own shares of the corpus.
+WEIGHTS = {"good": 1.0, "plain": 1.0, "toxic": 0.3}
 _SYMBOLS = "#*$%&|!?"
 #: Hash buckets of tokens.
 BUCKETS = 1 << 24
@@ -119,7 +120,7 @@ def _largest_eigenvalue(m: list[list[float]]) -> float:
 def fit_rates(members: DataFrame, weights: dict[str, float], most_iterations: int = 40, tolerance: float = 0.005) -> tuple[Column, dict]:
     """The rate as a column over (n_tokens, p0, ...), and a report: iterations, targets, and totals before and after.
 
-    A target is the domain's share of all tokens; targets are given as weights, which need not add up to 1."""
+    A domain's target is its own share of the tokens times its weight; targets together come to the tokens there are."""
     members = members.groupBy("n_tokens", *[f"p{i}" for i in range(len(DOMAINS))]).agg(F.count(F.lit(1)).alias("copies"))
     members = materialize(members, "members")
     mass = F.col("n_tokens") * F.col("copies")
@@ -131,8 +132,8 @@ def fit_rates(members: DataFrame, weights: dict[str, float], most_iterations: in
     report = {"iterations": 0, "before": totals, "after": totals, "targets": totals}
     if everything <= 0:
         return F.lit(1.0), report
-    share = [weights[d] / sum(weights.values()) for d in DOMAINS]
-    targets = [everything * s for s in share]
+    asked = [weights[d] * x for d, x in zip(DOMAINS, totals, strict=True)]
+    targets = [everything * x / (sum(asked) or 1.0) for x in asked]
     scale = [max(x, 1e-9 * everything) for x in totals]
     moment = [[0.0] * len(p) for _ in p]
     for (i, j), value in zip(pairs, first[len(p) :], strict=True):
