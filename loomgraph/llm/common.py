@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.cut import discard, materialize, shared_dir  # noqa: F401
 
 #: Word separators of all contracts: space and \t to \r.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -20,33 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests), one of our own."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and executors can be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loomgraph_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what ``materialize`` wrote for ``df``; the caller no longer reads it."""
-    path = getattr(df, "_loomgraph_path", None)
-    if path is not None:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+def if_few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table of a few columns of numbers, to be broadcast if it is counted to have ``most`` rows at most, and to be shuffled otherwise."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:

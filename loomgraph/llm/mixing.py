@@ -117,7 +117,7 @@ def _largest_eigenvalue(m: list[list[float]]) -> float:
     return size
 
 
-def fit_rates(members: DataFrame, weights: dict[str, float], most_iterations: int = 40, tolerance: float = 0.005) -> tuple[Column, dict]:
+def fit_rates(members: DataFrame, weights: dict[str, float], most_iterations: int = 30, tolerance: float = 0.005) -> tuple[Column, dict]:
     """The rate as a column over (n_tokens, p0, ...), and a report: iterations, targets, and totals before and after.
 
     A domain's target is its own share of the tokens times its weight; targets together come to the tokens there are."""
