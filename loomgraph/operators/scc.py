@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import discard, materialize
+from . import local
 
 
 def trim(edges: DataFrame) -> DataFrame:
@@ -42,6 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     In a round, each vertex takes the smallest vertex that reaches it as colour; what reaches the colour's own vertex inside the colour is its
     component, and goes.  The rest is trimmed and goes around again."""
+    few = local.small_edges(edges)
+    if few is not None:
+        return edges.sparkSession.createDataFrame(local.strong_components(few), "name string, root string")
     found = None
     left = trim(edges)
     while not left.isEmpty():

@@ -1,7 +1,7 @@
 """Reachability, one shortest path, and the subgraph of all paths, as loops of joins.
 
 A loop's step joins the frontier with the edges, on whichever side AQE finds small, and writes what it found: one small table a step.  Nothing
-but counts comes to the driver.
+but counts comes to the driver.  Graphs of few edges, which are counted first, are worked on by the kernels of ``local``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import materialize
+from . import local
+
+
+def _few(edges: DataFrame, *sets: DataFrame) -> tuple | None:
+    """The edges and sets as Python collections, if all of them are small."""
+    found = [local.small_edges(edges)]
+    for x in sets:
+        if found[-1] is None:
+            return None
+        found.append(local.small_names(x))
+    return None if found[-1] is None else tuple(found)
 
 
 def _next(frontier: DataFrame, edges: DataFrame) -> DataFrame:
@@ -23,6 +34,9 @@ def reach(edges: DataFrame, begin: DataFrame, include_begin: bool, include_reach
 
     No begin, no step.  Step 0 is the begin set if it is included; otherwise a begin vertex counts at the first step that reaches it, if
     ``include_reached``.  The search ends with a step that adds nothing."""
+    few = _few(edges, begin)
+    if few is not None:
+        return edges.sparkSession.createDataFrame(local.reach(*few, include_begin, include_reached, max_steps), "step int, name string")
     begin = materialize(begin.select("name").distinct(), "begin")
     rows = [begin.select(F.lit(0).alias("step"), "name")] if include_begin else [begin.limit(0).select(F.lit(0).alias("step"), "name")]
     seen, frontier, step = begin, begin, 0
@@ -45,6 +59,9 @@ def reach(edges: DataFrame, begin: DataFrame, include_begin: bool, include_reach
 def shortest_path(edges: DataFrame, begin: DataFrame, end: DataFrame) -> DataFrame:
     """(pos, name) along one shortest path: a vertex's parent is its smallest predecessor one level up, the end the one with the smallest (parent, name)."""
     spark = edges.sparkSession
+    few = _few(edges, begin, end)
+    if few is not None:
+        return spark.createDataFrame([*enumerate(local.shortest_path(*few))], "pos int, name string")
     begin, end = materialize(begin.select("name").distinct(), "begin"), materialize(end.select("name").distinct(), "end")
     level = begin.select("name", F.lit(None).cast("string").alias("parent"))
     levels, seen = [level], begin
@@ -69,6 +86,9 @@ def shortest_path(edges: DataFrame, begin: DataFrame, end: DataFrame) -> DataFra
 def paths_vertices(edges: DataFrame, begin: DataFrame, end: DataFrame, max_steps: int = -1) -> DataFrame:
     """(name) of the vertices on paths from begin to end: forward up to the limit without leaving end vertices, then back from the ends reached,
     inside what the first search found, without going on from begin vertices newly reached."""
+    few = _few(edges, begin, end)
+    if few is not None:
+        return edges.sparkSession.createDataFrame([(v,) for v in local.paths_vertices(*few, max_steps)], "name string")
     begin, end = materialize(begin.select("name").distinct(), "begin"), materialize(end.select("name").distinct(), "end")
 
     def search(edges: DataFrame, start: DataFrame, stop: DataFrame, stop_start: bool) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import filters as nf
 from loomgraph.functions import names
-from loomgraph.operators import cycles, query, reduce, rules, scc, traverse
+from loomgraph.operators import cycles, local, query, reduce, rules, scc, traverse
 from loomgraph.plans.view import CodeGraph, ElemType
 
 P1, P2, P3 = (f"net.example.p{i}" for i in (1, 2, 3))
@@ -17,6 +17,13 @@ EDGES = [(1, 2), (1, 3), (2, 5), (3, 4), (4, 2), (4, 6), (5, 4), (5, 7), (6, 4),
 OBJ = "java.lang.Object"
 
 
+@pytest.fixture(params=["jobs", "local"], autouse=True)
+def kernels(request, monkeypatch):
+    """Every test runs on the loops of jobs and on the kernels for small graphs."""
+    if request.param == "jobs":
+        monkeypatch.setattr(local, "SMALL_EDGES", -1)
+
+
 def n(i):
     return f"{PACK[i]}.C{i}"
 
