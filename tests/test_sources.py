@@ -93,3 +93,16 @@ def test_command_line(spark):
     for wrong in (["-depsof", "a", "-minsize", "3"], [], ["-sccs", "-cycles"], ["-sccs", "-nostats", "-onlystats"], ["-spath", "a"]):
         with pytest.raises(SystemExit):
             cli.command(["x.jar", *wrong])
+
+
+def test_stream_of_class_files(spark, compiled, tmp_path):
+    from loomgraph.streaming import incremental
+
+    came = tmp_path / "came"
+    shutil.copytree(compiled / "out" / "q", came / "q")
+    sizes = []
+    for _ in range(2):
+        incremental.start(incremental.decoded_stream(spark, str(came)), str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination(60)
+        sizes.append({r["name"] for r in incremental.graph_so_far(spark, str(tmp_path / "table")).files.collect()})
+        shutil.copytree(compiled / "out" / "p", came / "p", dirs_exist_ok=True)
+    assert sizes == [{"q.Base", "q.Mark", "q.Rec"}, {"q.Base", "q.Mark", "q.Rec", "p.A"}]
