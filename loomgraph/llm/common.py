@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ..plans.cut import discard, materialize, shared_dir  # noqa: F401
 
-#: Word separators of all contracts: space and \t to \r.
-SPACE_CLASS = r"\x20\x09-\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
