@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from ..plans.cut import discard, materialize, shared_dir  # noqa: F401
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,6 +25,12 @@ def if_few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that have ended: it does so when the driver collects its garbage, which otherwise happens rarely."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow``, after this package has been sent to the executors, which need not have it installed."""
     sc = df.sparkSession.sparkContext

@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, tidy
 from .components import components
 
 
@@ -76,6 +76,7 @@ def linked_components(items: DataFrame, members: DataFrame, sets: DataFrame, per
     pivots = told.groupBy("bucket").agg(F.min(F.struct((-F.col("x.shared") / F.col("x.n")).alias("order"), F.col("x.id").alias("id"), F.col("x").alias("y"))).alias("p")).select("bucket", "p.y")
     star = materialize(_confirmed(_pairs(told.join(pivots, "bucket").filter("x.id <> y.id"), percent, n_bits), sets, percent), "links")
     found = components(star)
+    tidy(items.sparkSession)
     parts = told.select("bucket", "x.id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     open_ = parts.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     open_rows = materialize(parts.join(open_, "bucket"), "open")
