@@ -253,6 +253,42 @@ def test_passages(docs, nothing):
     assert sorted(tree) == [(0, 1, 2), (0, 3, 5), (4, 5, 5)]
 
 
+def _shingled(words, size=5):
+    return np.array([zlib.crc32(" ".join(words[i : i + size]).encode()) for i in range(len(words) - size + 1)], np.uint64)
+
+
+def test_edited_passages_are_verified():
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+    for size in (50, 70, 90, 100):
+        passage, m = fresh(size), size // 2
+        for changed in ([*passage[:m], "x", *passage[m + 1 :]], [*passage[:m], "x", *passage[m:]], [*passage[:m], *passage[m + 1 :]], [*passage[m:], *passage[:m]], ["x", *passage[1:]]):
+            a, b = _shingled(fresh(80) + passage + fresh(70)), _shingled(fresh(60) + changed + fresh(90))
+            for x, y in ((a, b), (b, a)):
+                (low, high, start, stop), *rest = passages.verified(x, y, 46, 80)
+                one, other = set(x[low : high + 1].tolist()), set(y[start : stop + 1].tolist())
+                assert not rest and min(len(one), len(other)) >= 46 and len(one & other) >= 0.8 * len(one | other)
+                assert high - low + 1 >= len(changed) - 8 and abs(low - (80 if x is a else 60)) <= 4
+    passage = fresh(44)
+    assert not passages.verified(_shingled(fresh(80) + passage + fresh(80)), _shingled(fresh(80) + passage + fresh(80)), 46, 80)
+
+
+def test_edited_passages_are_found(spark):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+    rows, expected = [], {}
+    for k in range(60):
+        passage = fresh((70, 90, 100)[k % 3])
+        changed = list(passage)
+        changed[len(passage) // 2] = "x"
+        for i, x in ((2 * k, passage), (2 * k + 1, changed)):
+            rows.append((i, " ".join(fresh(60) + x + fresh(60))))
+            expected[i] = range(60 + 4, 60 + len(passage) - 4)
+    found = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    told = {k: {p for part in r["passages"].split(",") if part for p in range(*map(int, part.split("-")))} for k, r in found.items()}
+    assert all(set(expected[k]) <= told[k] and found[k]["component_id"] == k - k % 2 and found[k]["n_links"] == 1 for k in expected)
+
+
 def test_language(spark, nothing):
     rng = random.Random(2)
     letters = {"aa": "abcdeé", "bb": "fghijk", "cc": "lmnop漢"}
