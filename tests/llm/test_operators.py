@@ -289,6 +289,29 @@ def test_edited_passages_are_found(spark):
     assert all(set(expected[k]) <= told[k] and found[k]["component_id"] == k - k % 2 and found[k]["n_links"] == 1 for k in expected)
 
 
+def test_passages_behind_unrelated_texts(spark):
+    """One sentence of 30 words that every text has; pairs of texts have more around it."""
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+    sentence, rows = fresh(30), []
+    for k in range(40):
+        before, after = fresh(11), fresh(11)
+        rows += [(2 * k, " ".join(fresh(60) + before + sentence + after + fresh(60))), (2 * k + 1, " ".join(fresh(60) + before + sentence + after + fresh(60)))]
+    rows += [(100 + i, " ".join(fresh(60) + sentence + fresh(60))) for i in range(40)]
+    found = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i]["component_id"] == i - i % 2 and found[i]["n_passages"] == 1 for i in range(80))
+    assert all(found[i]["n_links"] == 0 and found[i]["component_id"] == i for i in range(100, 140))
+
+
+def test_runs_of_near_duplicates_have_a_part_in_common():
+    rng = np.random.default_rng(5)
+    assert passages.run_length(5, 46, 80) == 21
+    for _ in range(200):
+        run = rng.integers(0, 1 << 63, 21, np.uint64)
+        a, b = (np.concatenate((rng.integers(0, 1 << 63, 30, np.uint64), run, rng.integers(0, 1 << 63, 30, np.uint64))) for _ in range(2))
+        assert len(np.intersect1d(passages.selected(a, 21)[0], passages.selected(b, 21)[0]))
+
+
 def test_language(spark, nothing):
     rng = random.Random(2)
     letters = {"aa": "abcdeé", "bb": "fghijk", "cc": "lmnop漢"}
