@@ -23,10 +23,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, similarity 0.8): the one of the smallest id; one row of it."""
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.coalesce("doc_id", F.lit(minhash._NO_ID)).alias("_id")).distinct()
-    with_id = docs.withColumn("_id", F.coalesce("doc_id", F.lit(minhash._NO_ID)))
-    return with_id.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    """One document of each group of near duplicates (5-word shingles, similarity 0.8): the one of the smallest id, by id and text; one row of it."""
+    kept = minhash.marked(docs).filter("kept").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    own = [c.alias(n) for c, n in zip(minhash.identity("doc_id", "text"), ("_id", "_th"), strict=True)]
+    return docs.select("*", *own).join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

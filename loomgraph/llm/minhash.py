@@ -6,8 +6,8 @@ equal sets become one item first.  Links are confirmed on full sets (module ``si
 large-star and small-star.
 
 Null texts and texts without words have an empty set and link with nothing.  With fewer words than a shingle has, the whole sequence is
-the one element.  Very long texts are shingled whole.  Rows with one id are one document: they share its component.  A null id is treated
-as the largest id, so it is never the smallest of others, and is null in the result.  The operator selects the columns it
+the one element.  Very long texts are shingled whole.  Rows are told apart by id and text, so rows of one id, or without one, are
+linked by their texts only.  A null id is treated as the largest id, so it is never the smallest of others, and is null in the result.  The operator selects the columns it
 names, so extra columns do not clash.
 """
 
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, map_arrow, materialize, table
@@ -115,31 +115,36 @@ def _fine():
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row: the size of its set, the smallest id reachable by links, and whether that is its own."""
-    key_type = docs.schema[key].dataType
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.hash(text).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sketches = materialize(map_arrow(texts, _sketch(words), "id long, th int, n long, digest string, bands array<long>, bits array<long>"), "sketches")
-    classes = materialize(sketches.filter("n > 0").groupBy("digest").agg(F.min(F.struct("id", "th", "n", "bits", "bands")).alias("one")).select("digest", "one.*"), "classes")
-    members = materialize(shared_buckets(classes.select("id", F.explode("bands").alias("bucket")).distinct()), "members")
-    wanted = members.select("id").distinct().join(classes.select("id", "th"), "id")
-    found = texts.join(wanted, ["id", "th"]).groupBy("id").agg(F.first("text").alias("text"))
+def identity(key: str, text: str) -> list[Column]:
+    """(id, th): what tells rows apart."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th")]
+
+
+def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(id, th, n, component_id, kept) for every row by ``identity``: kept tells whether it is the smallest (id, th) reachable, component_id is that one's id."""
+    texts = docs.select(*identity(key, text), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sketches = materialize(map_arrow(texts, _sketch(words), "id long, th long, n long, digest string, bands array<long>, bits array<long>").withColumn("class", F.xxhash64("digest")), "sketches")
+    classes = materialize(sketches.filter("n > 0").groupBy("class").agg(F.min(F.struct("id", "th", "n", "bits", "bands")).alias("one")).select("class", "one.*"), "classes")
+    members = materialize(shared_buckets(classes.select(F.col("class").alias("id"), F.explode("bands").alias("bucket")).distinct()), "members")
+    wanted = classes.join(members.select(F.col("id").alias("class")).distinct(), "class", "left_semi").select("id", "th", "class")
+    found = texts.join(wanted, ["id", "th"]).groupBy("class").agg(F.first("text").alias("text")).select(F.col("class").alias("id"), "text")
     sets = materialize(map_arrow(found, _sets(words), "id long, elements array<long>"), "sets")
-    items = classes.select("id", "n", "bits", F.col("bands").alias("buckets")).dropDuplicates(["id"])
+    items = classes.select(F.col("class").alias("id"), "n", "bits", F.col("bands").alias("buckets"))
     finer = lambda x: map_arrow(x, _fine(), "id long, fine array<long>")
     near = linked_components(items, members, sets, percent, 128, finer, lambda x, y: unequal_bits(x, y, FINE) <= most_unequal(FINE, percent))
-    # an id of several rows, or several ids of one class, may tie components together
-    of_class = sketches.filter("n > 0").select("id", "digest").distinct().join(classes.select("digest", F.col("id").alias("rep")), "digest").join(near.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    told = materialize(of_class.select("id", F.coalesce("component", "rep").alias("component")).distinct(), "told")
-    final = told.groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("k"))
-    if not final.filter("k > 1").isEmpty():
-        from .components import components
-
-        final = components(told.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    joined = sketches.select("id", "n").join(final.select("id", "component"), "id", "left")
-    own = F.coalesce("component", "id")
-    shown = lambda c: F.when(c != _NO_ID, c).cast(key_type)
-    return joined.select(shown(F.col("id")).alias(key), F.col("n").alias("n_shingles"), shown(own).alias("component_id"), (own == F.col("id")).alias("kept"))
+    told = classes.select("class", "id", "th").join(near.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = told.groupBy("component").agg(F.min(F.struct("id", "th")).alias("least"))
+    of_class = told.join(smallest, "component").select("class", "least")
+    own = F.struct("id", "th")
+    joined = sketches.select("id", "th", "n", "class").join(of_class, "class", "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")).otherwise(own))
+    return joined.select("id", "th", "n", F.col("least.id").alias("component_id"), (F.col("least") == own).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for every row: the size of its set, the smallest id reachable by links, and whether it is the row kept."""
+    key_type = docs.schema[key].dataType
+    shown = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).cast(key_type)
+    return marked(docs, key, text, words, percent).select(shown("id").alias(key), F.col("n").alias("n_shingles"), shown("component_id").alias("component_id"), "kept")
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:

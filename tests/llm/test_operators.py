@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import corpus_pipeline
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -174,6 +175,17 @@ def test_minhash(docs, nothing):
     assert minhash.near_duplicates(nothing).isEmpty()
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    rng = random.Random(21)
+    five, nine, *rest = (prose(80, rng) for _ in range(8))
+    rows = [(5, five), (9, nine), (None, five), (None, nine), *[(None, x) for x in rest[:4]], (7, rest[4]), (7, rest[5]), (None, rest[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    assert found == {(5, 5, True), (9, 9, True), (None, 5, False), (None, 9, False), (None, None, True), (7, 7, True)}
+    left = corpus_pipeline.near_stage(spark, df, "")
+    assert sorted(r["text"] for r in left.collect()) == sorted([five, nine, *rest])
+
+
 def test_near_copies_that_miss_the_pivot(spark):
     rng = random.Random(5)
     base = prose(60, rng)
