@@ -3,10 +3,11 @@
 1. A naive Bayes classifier is fitted on labelled documents, ``per_domain`` of each domain at most, those of the smallest hash of their id: for
    each hashed token, the documents of each domain that have it.  Tokens that tell domains apart become a table of weights of a fixed size.
 2. Every document's evidence is added up over its distinct tokens and gives its posterior over the domains.
-3. Nonnegative rates, one for each document, are fitted by projected gradient so that the expected token totals of the domains (rate x
-   tokens x posterior) come to the targets in the sense of least squares of relative errors.  The gradient at a document depends on the
-   domains' residuals only, so an iteration is one aggregation of a row for each domain, and a document's rate follows from the
-   residuals of all iterations; nothing of a document's size goes to the driver.
+3. Nonnegative rates, one for each document, are fitted so that the expected token totals of the domains (rate x tokens x posterior) come to
+   the targets: a rate is 1 plus a multiple of each posterior, projected on what is not negative, and the multiples follow the gradient,
+   which is the domains' residuals, scaled by the domains' moments among the documents of a positive rate (Newton's method with halved steps).
+   An iteration is one aggregation to a row; nothing of a document's size goes to the driver.  It ends when every domain is within the tolerance
+   of its own target; targets that can't be met are told of.
 
 Null texts and texts without tokens have the prior as posterior and weigh nothing in the totals.  A domain without labelled documents has the
 smoothed prior; without any labels all domains are alike.  Repeated rows get equal rates.  Labels that repeat an id count once, the smallest
@@ -23,7 +24,7 @@ from .common import materialize, table
 from .quality import _NO_ID, _identity
 
 DOMAINS = ("good", "plain", "toxic")
-#: Target weights, as multiples of the domains' own shares of the corpus.
+#: Target weights, as multiples of the domains' own shares of the corpus (unless they are asked for as absolute shares).
 WEIGHTS = {"good": 1.0, "plain": 1.0, "toxic": 0.3}
 _SYMBOLS = "#*$%&|!?"
 #: Hash buckets of tokens.
@@ -108,68 +109,88 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], key: st
     return logits.select("k", "th", "n_tokens", *[F.round(x / sum(power[1:], power[0]), 6).alias(f"p{i}") for i, x in enumerate(power)])
 
 
-def _largest_eigenvalue(m: list[list[float]]) -> float:
-    v = [1.0] * len(m)
-    for _ in range(200):
-        w = [sum(a * b for a, b in zip(row, v, strict=True)) for row in m]
-        size = max(map(abs, w)) or 1.0
-        v = [x / size for x in w]
-    return size
+def fit_rates(members: DataFrame, weights: dict[str, float], most_iterations: int = 30, tolerance: float = 0.005, absolute: bool = False) -> tuple[Column, dict]:
+    """The rate as a column over (n_tokens, p0, ...), and a report: iterations, targets, totals before and after, the largest relative error, and whether
+    it is within the tolerance; a warning tells if it is not.
 
+    A domain's target is its own share of the tokens times its weight, or, if ``absolute``, its weight as a share; targets together come to the tokens
+    there are."""
+    import warnings
 
-def fit_rates(members: DataFrame, weights: dict[str, float], most_iterations: int = 30, tolerance: float = 0.005) -> tuple[Column, dict]:
-    """The rate as a column over (n_tokens, p0, ...), and a report: iterations, targets, and totals before and after.
+    import numpy as np
 
-    A domain's target is its own share of the tokens times its weight; targets together come to the tokens there are."""
     members = members.groupBy("n_tokens", *[f"p{i}" for i in range(len(DOMAINS))]).agg(F.count(F.lit(1)).alias("copies"))
     members = materialize(members, "members")
     mass = F.col("n_tokens") * F.col("copies")
     p = [F.col(f"p{i}") for i in range(len(DOMAINS))]
-    pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
-    first = members.agg(*[F.coalesce(F.sum(mass * x), F.lit(0.0)) for x in p], *[F.coalesce(F.sum(mass * p[i] * p[j]), F.lit(0.0)) for i, j in pairs]).first()
-    totals = [float(x) for x in first[: len(p)]]
+    totals = [float(x) for x in members.agg(*[F.coalesce(F.sum(mass * x), F.lit(0.0)) for x in p]).first()]
     everything = sum(totals)
-    report = {"iterations": 0, "before": totals, "after": totals, "targets": totals}
+    report = {"iterations": 0, "before": totals, "after": totals, "targets": totals, "error": 0.0, "met": True}
     if everything <= 0:
         return F.lit(1.0), report
-    asked = [weights[d] * x for d, x in zip(DOMAINS, totals, strict=True)]
+    asked = [weights[d] * (1.0 if absolute else x) for d, x in zip(DOMAINS, totals, strict=True)]
     targets = [everything * x / (sum(asked) or 1.0) for x in asked]
-    scale = [max(x, 1e-9 * everything) for x in totals]
-    moment = [[0.0] * len(p) for _ in p]
-    for (i, j), value in zip(pairs, first[len(p) :], strict=True):
-        moment[i][j] = moment[j][i] = float(value) / (scale[i] * scale[j])
-    step = 1.0 / _largest_eigenvalue(moment)
-    rate, after = F.lit(1.0), totals
-    for iteration in range(most_iterations):
-        residual = [(a - t) / s for a, t, s in zip(after, targets, scale, strict=True)]
-        if max(map(abs, residual)) <= tolerance:
+    # each domain in units of its own total
+    scale = np.array([max(x, 1e-9 * everything) for x in totals])
+    wanted = np.array(targets) / scale
+    pairs = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
+    ridge = 1e-6
+
+    def moved(by) -> Column:
+        return F.greatest(F.lit(0.0), sum((x * F.lit(float(m * everything / s)) for x, m, s in zip(p, by, scale, strict=True)), F.lit(1.0)))
+
+    def at(by):
+        """The totals with these multiples; the value, gradient and second derivatives of the function that is least where the targets are met."""
+        weighted = members.select(*p, mass.alias("m"), moved(by).alias("r"))
+        m, r = F.col("m"), F.col("r")
+        row = weighted.agg(F.sum(m * r * r), *[F.sum(m * r * x) for x in p], *[F.sum(F.when(r > 0, m * p[i] * p[j]).otherwise(0.0)) for i, j in pairs]).first()
+        after = np.array([float(x) for x in row[1 : len(p) + 1]])
+        second = np.zeros((len(p), len(p)))
+        for (i, j), value in zip(pairs, row[len(p) + 1 :], strict=True):
+            second[i, j] = second[j, i] = float(value) * everything / (scale[i] * scale[j])
+        return after, float(row[0]) / everything / 2 - wanted @ by + ridge / 2 * by @ by, after / scale - wanted + ridge * by, second
+
+    by = np.zeros(len(p))
+    after, value, gradient, second = at(by)
+    for iteration in range(most_iterations + 1):
+        error = max(abs(a - t) / (t or everything) for a, t in zip(after, targets, strict=True))
+        report |= {"iterations": iteration, "after": after.tolist(), "targets": targets, "error": float(error), "met": bool(error <= tolerance)}
+        # without a gradient this is the best that can be had
+        if report["met"] or iteration == most_iterations or max(abs(gradient)) < 1e-5:
+            break
+        step = -np.linalg.solve(second + (ridge + 1e-9 * np.trace(second)) * np.eye(len(p)), gradient)
+        for half in range(10):
+            trial = by + step / 2**half
+            found = at(trial)
+            if found[1] <= value + 1e-4 * gradient @ (trial - by):
+                break
+        else:
             break
-        move = sum((x * F.lit(step * r / s) for x, r, s in zip(p, residual, scale, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-        after = [float(x) for x in members.agg(*[F.sum(mass * x * rate) for x in p]).first()]
-        report = {"iterations": iteration + 1, "before": totals, "after": after, "targets": targets}
-    return rate, report
+        by, (after, value, gradient, second) = trial, found
+    if not report["met"]:
+        warnings.warn(f"targets not met within {tolerance}: {report}", stacklevel=2)
+    return moved(by), report
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str, text: str, per_domain: int) -> DataFrame:
+def _fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str, text: str, per_domain: int, absolute: bool) -> DataFrame:
     table_, priors = fit(docs, labels, key, text, per_domain)
     members = materialize(posteriors(docs, table_, priors, key, text), "posteriors")
-    rate, _ = fit_rates(members, weights)
+    rate, _ = fit_rates(members, weights, absolute=absolute)
     return members.withColumn("rate", F.round(rate, 4))
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, key: str = "doc_id", text: str = "text", per_domain: int = 10_000) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, key: str = "doc_id", text: str = "text", per_domain: int = 10_000, absolute: bool = False) -> DataFrame:
     """(key, n_tokens, p_good, p_plain, p_toxic, domain, rate), a row for each distinct document; labels is (key, domain)."""
-    fitted = _fitted(docs, labels, weights, key, text, per_domain)
+    fitted = _fitted(docs, labels, weights, key, text, per_domain, absolute)
     best = F.greatest(*[f"p{i}" for i in range(len(DOMAINS))])
     domain = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(d)) for i, d in enumerate(DOMAINS)])
     return fitted.select(F.when(F.col("k") != _NO_ID, F.col("k")).cast(docs.schema[key].dataType).alias(key), "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)], domain.alias("domain"), "rate")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, key: str = "doc_id", text: str = "text", per_domain: int = 10_000) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, key: str = "doc_id", text: str = "text", per_domain: int = 10_000, absolute: bool = False) -> DataFrame:
     """``docs`` by their rates: a document is there as often as its rate says, the fraction decided by a hash of its key and text."""
     columns = docs.columns
-    fitted = _fitted(docs, labels, weights, key, text, per_domain).select("k", "th", "rate")
+    fitted = _fitted(docs, labels, weights, key, text, per_domain, absolute).select("k", "th", "rate")
     chance = F.xxhash64("k", "th", F.lit("mix")).bitwiseAND((1 << 30) - 1) / (1 << 30)
     times = fitted.select("k", "th", F.floor(F.col("rate") + chance).cast("int").alias("times")).filter("times > 0")
     told = docs.select(F.struct(*columns).alias("row"), *_identity(key, text)).join(times, ["k", "th"])

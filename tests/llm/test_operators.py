@@ -358,3 +358,17 @@ def test_mixing(spark, docs, nothing):
     assert mixed.columns == df.columns and mixed.filter("text like '%scum%'").count() < 26
     assert {x["domain"] for x in mixing.rates(docs, labels.limit(0)).collect()} == {"good"}
     assert mixing.rates(nothing, labels).isEmpty() and mixing.mix(nothing, labels).isEmpty()
+
+
+def test_targets_are_met_under_skewed_shares(spark):
+    shares = (0.01, 0.8, 0.19)
+    rows = [(100 + i % 7, *[0.98 if j == k else 0.01 for j in range(3)]) for k, share in enumerate(shares) for i in range(int(2000 * share))]
+    members = spark.createDataFrame(rows, "n_tokens long, p0 double, p1 double, p2 double")
+    for weights, absolute in ((mixing.WEIGHTS, False), ({"good": 0.75, "plain": 0.2, "toxic": 0.05}, True), ({"good": 1.0, "plain": 1.0, "toxic": 1.0}, True)):
+        rate, report = mixing.fit_rates(members, weights, absolute=absolute)
+        after = members.agg(*[F.sum(F.col("n_tokens") * F.col(f"p{i}") * rate) for i in range(3)]).first()
+        assert report["met"] and all(abs(a - t) <= 0.005 * t for a, t in zip(after, report["targets"], strict=True))
+        if absolute:
+            assert all(abs(t / sum(report["targets"]) - weights[d] / sum(weights.values())) < 1e-9 for t, d in zip(report["targets"], mixing.DOMAINS, strict=True))
+    with pytest.warns(UserWarning, match="not met"):
+        assert not mixing.fit_rates(members, {"good": 1.0, "plain": 0.0, "toxic": 0.0}, absolute=True)[1]["met"]
