@@ -372,3 +372,13 @@ def test_targets_are_met_under_skewed_shares(spark):
             assert all(abs(t / sum(report["targets"]) - weights[d] / sum(weights.values())) < 1e-9 for t, d in zip(report["targets"], mixing.DOMAINS, strict=True))
     with pytest.warns(UserWarning, match="not met"):
         assert not mixing.fit_rates(members, {"good": 1.0, "plain": 0.0, "toxic": 0.0}, absolute=True)[1]["met"]
+
+
+def test_short_lines_that_share_four_of_five_shingles(spark):
+    rng = random.Random(31)
+    rows = []
+    for k in range(3000):
+        line = " ".join(str(rng.randrange(1000, 10000)) for _ in range(4))
+        rows += [(2 * k, line), (2 * k + 1, f"{rng.randrange(1000, 10000)} {line}")]
+    found = dict(map(tuple, lines.line_components(spark.createDataFrame(rows, "id long, line string")).collect()))
+    assert sum(found.get(2 * k + 1) != 2 * k for k in range(3000)) <= 6
