@@ -20,3 +20,7 @@ def test_stages_keep_the_columns(spark):
 
 def test_ten_operators_are_registered():
     assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
+
+
+def test_oracles_are_sql():
+    assert all(isinstance(x, str) for x in queries.ORACLES.values())
