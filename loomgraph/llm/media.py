@@ -5,7 +5,8 @@ its alternative text, its caption and the digest it names.  ``store`` writes pay
 ``resolve`` joins the references of all pages with what was read back from the store by digest, and puts every item back
 at its position.
 
-Null or empty HTML gives an empty sequence; unclosed tags are read as far as they go.  A reference whose digest is in no store keeps
+A figure's caption, before or after its media, is that of all media in it; a caption outside a figure is text.  Null or empty HTML gives an empty
+sequence; unclosed tags are read as far as they go, and a head also ends at the first element or text that can't be in it.  A reference whose digest is in no store keeps
 its position with null payload columns.  Payload rows with equal digests count once.  Repeated pages give repeated sequences.  The
 operators select the columns they name, so extra columns do not clash.
 """
@@ -33,7 +34,9 @@ ITEM = "struct<position:int,kind:string,text:string,digest:string,alt:string,cap
 #: Elements that end a run of text.
 _BLOCKS = frozenset("p div section article header footer main aside nav ul ol li table tr td th h1 h2 h3 h4 h5 h6 figure figcaption blockquote pre br hr body html".split())
 _MEDIA = frozenset("img video audio source embed".split())
-_SILENT = frozenset("script style head noscript template".split())
+_SILENT = frozenset("script style head title noscript template".split())
+#: Elements that may stand in a head; any other one ends it, as does text.
+_IN_HEAD = frozenset("title meta link base script style noscript template".split())
 _DIGEST = re.compile(r"(?:^|[:/])([0-9a-f]{64})(?:\.[a-z0-9]+)?$")
 
 
@@ -45,8 +48,8 @@ class _Sequence(HTMLParser):
         self.items: list[dict] = []
         self.run: list[str] = []
         self.silent: list[str] = []
-        self.figure: list[int] = []
-        self.caption: list[str] | None = None
+        # open figures: where their items start, their caption so far, and whether it is open
+        self.figures: list[dict] = []
 
     def close_run(self) -> None:
         text = " ".join("".join(self.run).split())
@@ -54,15 +57,24 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "alt": None, "caption": None})
 
-    def close_caption(self) -> None:
-        if self.caption is not None:
-            caption = " ".join("".join(self.caption).split())
-            self.caption = None
-            for item in self.items[self.figure[-1] if self.figure else len(self.items) :]:
-                if item["kind"] == "media":
+    def close_figure(self) -> None:
+        """The caption, wherever it stands in the figure, goes to all media of it that have none of a figure inside."""
+        self.close_run()
+        figure = self.figures.pop()
+        if figure["caption"] is not None:
+            caption = " ".join("".join(figure["caption"]).split())
+            for item in self.items[figure["start"] :]:
+                if item["kind"] == "media" and item["caption"] is None:
                     item["caption"] = caption
 
+    def end_head(self) -> None:
+        """A head ends without its end tag too."""
+        if "head" in self.silent:
+            del self.silent[self.silent.index("head") :]
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or self.silent[-1:] == ["head"] and tag not in _IN_HEAD:
+            self.end_head()
         if tag in _SILENT:
             self.silent.append(tag)
         if self.silent:
@@ -70,9 +82,9 @@ class _Sequence(HTMLParser):
         if tag in _BLOCKS or tag in _MEDIA:
             self.close_run()
         if tag == "figure":
-            self.figure.append(len(self.items))
-        elif tag == "figcaption":
-            self.caption = []
+            self.figures.append({"start": len(self.items), "caption": None, "open": False})
+        elif tag == "figcaption" and self.figures:
+            self.figures[-1] |= {"caption": self.figures[-1]["caption"] or [], "open": True}
         elif tag in _MEDIA:
             named = dict(attrs)
             source = (named.get("src") or "").strip()
@@ -82,22 +94,23 @@ class _Sequence(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
+            if tag in self.silent:
+                # what is still open inside ends with it
+                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
             return
-        if tag == "figcaption":
-            self.close_caption()
+        if tag == "figcaption" and self.figures:
+            self.figures[-1]["open"] = False
         elif tag == "figure":
-            self.close_caption()
-            self.close_run()
-            if self.figure:
-                self.figure.pop()
+            if self.figures:
+                self.close_figure()
         elif tag in _BLOCKS:
             self.close_run()
 
     def handle_data(self, data):
+        if self.silent == ["head"] and data.strip():
+            self.end_head()
         if not self.silent:
-            (self.run if self.caption is None else self.caption).append(data)
+            (self.figures[-1]["caption"] if self.figures and self.figures[-1]["open"] else self.run).append(data)
 
 
 def page_items(html: str | None) -> list[dict]:
@@ -105,7 +118,8 @@ def page_items(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.close_caption()
+    while parser.figures:
+        parser.close_figure()
     parser.close_run()
     return [{"position": i, **item} for i, item in enumerate(parser.items)]
 
