@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency (DataFrame operations only).
 
 Base rules look at one document: too few words, or too many words inside repeated 3-word windows.  Then lines are normalised (white space
-runs become one space, lower case) and hashed; for each host and line, the distinct documents that have it are counted, copies of a text once.
+runs become one space, lower case) and hashed; for each host and line, the distinct documents that have it are counted.
 Lines above the limit are removed: over ``min_documents`` and over ``share`` of the host's documents.  A document that keeps less than
 ``keep_percent`` of its words is depleted and rejected.
 
@@ -80,14 +80,15 @@ def _identity(key: str, text: str) -> list[Column]:
 
 def frequent_lines(docs: DataFrame, key: str, text: str, host: str, min_documents: int, share: float) -> DataFrame:
     """(k, th, line, n_words, n_lines): for each document (by ``_identity``), its lines above the limit, by hash, with their words and number in it."""
-    hosts = docs.groupBy(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(host).isNull().alias("no_host")).agg(F.count(F.lit(1)).alias("documents"))
+    of_host = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(host).isNull().alias("no_host"), *_identity(key, text))
+    hosts = of_host.distinct().groupBy("host", "no_host").agg(F.count(F.lit(1)).alias("documents"))
     normal = F.transform(_lines(F.coalesce(F.col(text), F.lit(""))), normal_line)
     figures = lambda x: F.struct(F.xxhash64(x).alias("line"), (F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n"))
     exploded = docs.select(*_identity(key, text), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(host).isNull().alias("no_host"), F.explode(F.transform(normal, figures)).alias("x"))
     lines = exploded.select("k", "th", "host", "no_host", "x.line", "x.n")
     many = lines.groupBy("host", "no_host", "line").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > min_documents).drop("rows")
     looked = materialize(lines.join(many, ["host", "no_host", "line"]).groupBy("host", "no_host", "line", "k", "th").agg(F.max("n").alias("words"), F.count(F.lit(1)).alias("copies")), "lines")
-    per_line = looked.select("host", "no_host", "line", "th").distinct().groupBy("host", "no_host", "line").agg(F.count(F.lit(1)).alias("found")).join(hosts, ["host", "no_host"])
+    per_line = looked.groupBy("host", "no_host", "line").agg(F.count(F.lit(1)).alias("found")).join(hosts, ["host", "no_host"])
     above = per_line.filter((F.col("found") > min_documents) & (F.col("found") > share * F.col("documents"))).select("host", "no_host", "line")
     return looked.join(above, ["host", "no_host", "line"]).groupBy("k", "th", "line").agg(F.max(F.col("words") * F.col("copies")).alias("n_words"), F.max("copies").alias("n_lines"))
 
@@ -133,8 +134,8 @@ g as (select doc_id, t, i, count(*) over (partition by doc_id, t, w[i], w[i + 1]
 c as (select doc_id, t, count(distinct i + o) as n from g, (values (0), (1), (2)) v(o) where n > 1 group by 1, 2),
 b as (select w.*, len(w.w) as n_words, coalesce(c.n, 0) as n_repeat_words from w left join c on c.doc_id is not distinct from w.doc_id and c.t = w.t),
 x as (select doc_id, t, host, no_host, unnest(list_transform(l, lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))))) as line from w),
-a as (select x.host, x.no_host, line from x join (select host, no_host, count(*) as documents from d group by 1, 2) h on h.host = x.host and h.no_host = x.no_host
-      group by 1, 2, 3 having count(distinct t) > 50 and count(distinct t) > 0.01 * max(documents)),
+a as (select x.host, x.no_host, line from x join (select host, no_host, count(distinct {'d': doc_id, 't': t}) as documents from d group by 1, 2) h on h.host = x.host and h.no_host = x.no_host
+      group by 1, 2, 3 having count(distinct {'d': doc_id, 't': t}) > 50 and count(distinct {'d': doc_id, 't': t}) > 0.01 * max(documents)),
 r as (select doc_id, t, sum(len(string_split(line, ' '))) as gone, count(*) as gone_lines from x semi join a using (host, no_host, line) group by 1, 2)
 select b.doc_id, n_words, cast(length(regexp_replace(b.t, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
   cast(length(b.t) - length(regexp_replace(b.t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, n_repeat_words,
