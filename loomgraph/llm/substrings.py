@@ -5,7 +5,7 @@ Every byte covered by a string of ``length`` bytes that also starts anywhere els
 1. Each window of ``length`` bytes picks the ``gram``-byte string in it whose hash is least, its anchor, so that equal windows pick
    the same string at the same offset.  Runs of windows with one anchor form a span.  About 2 in 160 positions are anchors, and only they
    are shuffled: anchors whose string is unique hold no repeated window.
-2. Spans that are equal as a whole are repeated as a whole.  One span of each class goes on, if its anchor has other classes.
+2. Spans that are equal as a whole, by a digest of 128 bits of two prefix hashes, are repeated as a whole.  One span of each class goes on, if its anchor has other classes.
 3. Spans with one anchor are sorted by what follows the anchor: a mergesort in which two suffixes are compared by the longest common
    extension, found by binary search over polynomial prefix hashes, and the next byte.  Common extensions of neighbours are checked
    on the bytes.  Windows with ``l`` bytes before the anchor are equal if no extension of ``length - l`` is missing between
@@ -72,11 +72,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def spans(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """The spans of a text: anchor hash, class hash, first window's start, anchor less start, last window's start less first."""
+    """The spans of a text: anchor hash, the two halves of its class (a digest of 128 bits), first window's start, anchor less start, last window's start less first."""
     out = []
     for begin in range(0, len(data) - length + 1, SEGMENT):
         part = data[begin : begin + SEGMENT + length - 1]
-        prefixes = Prefixes(part)
+        prefixes, others = Prefixes(part), Prefixes(part, 2)
         least = _mixed(prefixes.every(gram)) & ~_POSITION
         least |= np.arange(len(least), dtype=np.uint64)
         width, wanted = 1, length - gram + 1
@@ -90,7 +90,7 @@ def spans(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray,
         more = np.append(first[1:], len(at)) - 1 - first
         anchor = at[first]
         kind = _mixed(prefixes.of(first, more + length)) ^ _mixed((anchor - first).astype(np.uint64) << np.uint64(10) | more.astype(np.uint64))
-        out.append((prefixes.of(anchor, gram), kind, first + begin, anchor - first, more))
+        out.append((prefixes.of(anchor, gram), kind, _mixed(others.of(first, more + length)), first + begin, anchor - first, more))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -209,9 +209,9 @@ def _anchors(length: int):
                     found.append(spans(data, length))
                     rows.append(np.full(len(found[-1][0]), i))
             if found:
-                gram, kind, first, before, more = (np.concatenate(x) for x in zip(*found, strict=True))
+                gram, kind, other, first, before, more = (np.concatenate(x) for x in zip(*found, strict=True))
                 owner = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(kind.view(np.int64)), part.column("k").take(owner), part.column("th").take(owner), pa.array(first << 16 | before << 8 | more)], names=["gram", "kind", "k", "th", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(other.view(np.int64)), part.column("k").take(owner), part.column("th").take(owner), pa.array(first << 16 | before << 8 | more)], names=["gram", "kind", "other", "k", "th", "place"])
 
     return run
 
@@ -319,11 +319,11 @@ def remove_repeated(docs: DataFrame, length: int = 200, key: str = "doc_id", tex
         raise ValueError(f"length must be over {GRAM} and at most {GRAM + 255}")
     key_type = docs.schema[key].dataType
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("k"), F.hash(F.col(key), F.col(text)).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    anchors = map_arrow(texts, _anchors(length), "gram long, kind long, k long, th int, place long")
+    anchors = map_arrow(texts, _anchors(length), "gram long, kind long, other long, k long, th int, place long")
     again = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     shared = materialize(anchors.join(again, "gram"), "anchors")
-    classes = materialize(shared.groupBy("gram", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "th", "place")).alias("one")), "spans")
-    whole = shared.join(classes.filter("n > 1").select("gram", "kind"), ["gram", "kind"]).select("k", "th", F.shiftright("place", 16).alias("low"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(255)).alias("high"))
+    classes = materialize(shared.groupBy("gram", "kind", "other").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "th", "place")).alias("one")), "spans")
+    whole = shared.join(classes.filter("n > 1").select("gram", "kind", "other"), ["gram", "kind", "other"]).select("k", "th", F.shiftright("place", 16).alias("low"), (F.shiftright("place", 16) + F.col("place").bitwiseAND(255)).alias("high"))
     several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
     wanted = classes.join(several, "gram").select("one.k", "one.th", F.struct("gram", "one.place", (F.col("classes") > most_classes).alias("hot")).alias("x")).groupBy("k", "th").agg(F.collect_list("x").alias("wanted"))
     cut = materialize(map_arrow(texts.join(wanted, ["k", "th"]), _cut(length), "gram long, k long, th int, place long, hot boolean, bytes binary"), "cut")
