@@ -31,7 +31,7 @@ MOST_BROADCAST = 200_000
 
 @cache
 def _letters() -> np.ndarray:
-    """By code point: whether it is a letter or a mark."""
+    """By code point: whether it is a letter or a mark, which words consist of."""
     out = np.zeros(0x110000, bool)
     for c in range(0x110000):
         out[c] = unicodedata.category(chr(c))[0] in "LM"
@@ -100,10 +100,10 @@ class Profiles:
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         """The nearest language, and 1 minus its distance's share of the largest distance possible."""
+        if not self.names or not any(map(str.isalpha, text or "")):
+            return "und", 0.0
         grams, counts = ngrams(text)
         grams = _top(grams, counts, self.size)
-        if not len(grams) or not self.names:
-            return "und", 0.0
         ranks = np.arange(len(grams))
         distances = []
         for known, rank in self.tables:
