@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import if_few, materialize, table
 from .quality import _NO_ID, _identity
 
 DOMAINS = ("good", "plain", "toxic")
@@ -90,7 +90,7 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], key: st
     """(k, th, n_tokens, p0, p1, ...) for each document by ``_identity``: its tokens and its posterior.
 
     Every weight is of a token that a twentieth of a domain's labelled documents have, so there are at most twenty times as many as such a
-    document has tokens on average, however large the corpus is: they are broadcast."""
+    document has tokens on average, however large the corpus is: they are counted, and broadcast if they are that few."""
     import math
 
     tokens = docs.select(*_identity(key, text), _tokens(F.col(text)).alias("tokens")).select("k", "th", F.size("tokens").cast("long").alias("n"), F.array_distinct("tokens").alias("tokens"))
@@ -98,7 +98,7 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: list[float], key: st
     names = [f"w{i}" for i in range(len(DOMAINS))]
     # whole numbers add up alike in any order
     whole = weights.select(F.col("bucket").alias("b"), *[F.round(F.col(w) * 1e6).cast("long").alias(w) for w in names])
-    joined = exploded.join(F.broadcast(whole), F.col("bucket") == F.col("b"), "left")
+    joined = exploded.join(if_few(whole), F.col("bucket") == F.col("b"), "left")
     # a document's first row stays, and those of evidence; all of them are in one task, so one row of the document is shuffled
     told = joined.filter(F.col("first") | F.col("b").isNotNull())
     added = told.groupBy("k", "th", F.col("n").alias("n_tokens")).agg(F.count("b").alias("hits"), *[F.coalesce(F.sum(w), F.lit(0)).alias(w) for w in names])
