@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -113,6 +114,34 @@ def test_media(spark, docs, nothing):
     assert media.read_payloads(media.store(nothing.select(F.col("text").cast("binary").alias("c")), "c")).isEmpty()
 
 
+def test_captions_and_heads_of_real_pages(spark):
+    told = lambda html: [(x["kind"], x["text"], x["caption"]) for x in media.page_items(html)]
+    a, b = ("media", "a.png", "C d"), ("media", "b.png", "C d")
+    assert told("<figure><figcaption>C <i>d</i></figcaption><img src=a.png><img src=b.png></figure>x") == [a, b, ("text", "x", None)]
+    assert told("<figure><img src=a.png><figcaption>C d</figcaption><img src=b.png></figure>x") == [a, b, ("text", "x", None)]
+    assert told("<figure><img src=a.png><figcaption>C d</figure>x") == [a, ("text", "x", None)]
+    assert told("y<figure><img src=a.png><figcaption>C d") == [("text", "y", None), a]
+    assert told("<figure><figure><img src=a.png><figcaption>C d</figcaption></figure><img src=b.png><figcaption>outer</figcaption></figure>") == [a, ("media", "b.png", "outer")]
+    assert told("<figure><img src=a.png></figure><figcaption>z</figcaption>") == [("media", "a.png", None), ("text", "z", None)]
+    for head in ("<html><head><title>t</title><body>", "<head><meta x><title>t</title>", "<title>t</title>", "<head><script>var x = '<p>no</p>'</script>", "<head><noscript><link></head><body>"):
+        assert told(f"{head}<p>one<img src=q.png><p>two") == [("text", "one", None), ("media", "q.png", None), ("text", "two", None)], head
+    assert told("<head>one<p>two") == [("text", "one", None), ("text", "two", None)]
+
+
+def test_every_page_of_the_table(spark):
+    """Media in the order of their tags, whatever stands around them, and every visible word in order."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r["page_id"]: r["html"] or "" for r in pages.collect()}
+    found = {r["page_id"]: r["items"] for r in media.parse_pages(pages, "page_id", "html").collect()}
+    assert found.keys() == html.keys()
+    for k, page in html.items():
+        shown = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|template|title)\b.*?(</\1\s*>|$)", " ", page)
+        shown = re.sub(r"(?is)<head\b.*?(</head>|(?=<(?!/|meta|link|base|head)))", " ", shown)
+        sources = [m[2] or m[3] or m[4] for m in re.finditer(r"""(?is)<(img|video|audio|source|embed)\b[^>]*?\bsrc\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", shown)]
+        assert [x["text"] for x in found[k] if x["kind"] == "media"] == [x.strip() for x in sources if x.strip()], k
+        assert [x["position"] for x in found[k]] == [*range(len(found[k]))]
+
+
 def test_substrings(docs, nothing, texts):
     raw = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
     for length in (200, 60):
@@ -292,6 +321,10 @@ def test_quality(spark, docs, nothing):
     many = spark.createDataFrame([(i, f"{line}\n{prose(5)}", "h") for i in range(9)] + [(20, prose(60), "h")], "doc_id long, text string, source string")
     assert {r["doc_id"] for r in quality.quality(many, min_documents=5).filter("kept").collect()} == {20}
     assert quality.quality(nothing).isEmpty() and quality.apply_rules(nothing).isEmpty()
+    # copies under ids of their own are documents of their own, repeated rows are not
+    copy = prose(60)
+    copies = spark.createDataFrame([(i, copy, "h") for i in range(9)] + [(30, line, "h")] * 9, "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["n_removed_lines"] for r in quality.quality(copies, min_documents=5).distinct().collect()} == {**dict.fromkeys(range(9), 1), 30: 0}
 
 
 def test_passages(docs, nothing):
@@ -380,12 +413,45 @@ def test_language(spark, nothing):
     held = spark.createDataFrame([(i, make(x), x, 1) for i, x in enumerate(rng.choices(sorted(letters), k=60))], train.schema)
     found = language.predict(held, profiles).collect()
     assert all(r["lang"] == r["lang_pred"] and 0 <= r["score"] <= 1 for r in found)
-    odd = spark.createDataFrame([(1, None, "aa", 1), (2, "", None, 1), (3, "12 !?", None, 1)], train.schema)
+    odd = spark.createDataFrame([(1, None, "aa", 1), (2, "", None, 1), (3, "12 !?", None, 1), (4, "\u0301", None, 1)], train.schema)
     assert {(r["lang_pred"], r["score"]) for r in language.predict(odd, profiles).collect()} == {("und", 0.0)}
     assert {r["lang_pred"] for r in language.predict(held, {}).collect()} == {"und"} and language.learn(nothing) == {}
     assert language.predict(nothing, profiles).isEmpty()
 
 
+def _plain_grams(text):
+    words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split()
+    joined = " " + " ".join(words) + " "
+    grams = [joined[i : i + n] for n in (1, 2, 3) for i in range(len(joined) - n + 1)]
+    return Counter(g for g in grams if g != " " and not (len(g) == 3 and g[1] == " "))
+
+
+def _number(gram):
+    return sum(ord(c) << 21 * i for i, c in enumerate(reversed(gram)))
+
+
+def test_language_against_plain_distances(spark):
+    """Every distance by dictionaries, and the accuracy on documents that nothing was learned from."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [r for r in df.collect() if r["text"] is not None]
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    learned, ranked = defaultdict(Counter), {}
+    for r in rows:
+        if r not in held and r["lang"] is not None:
+            learned[r["lang"]].update(_plain_grams(r["text"]))
+    top = lambda c: sorted(c, key=lambda g: (-c[g], _number(g)))[:300]
+    ranked = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in learned.items()}
+    found = {r["doc_id"]: r for r in language.op7_language(spark, "/root/testdata/sf0.001").collect()}
+    for r in rows:
+        own = top(_plain_grams(r["text"]))
+        distance = {lang: sum(abs(i - known[g]) if g in known else 300 for i, g in enumerate(own)) for lang, known in ranked.items()}
+        best = min(sorted(distance), key=distance.get) if own else "und"
+        told = found[r["doc_id"]]
+        assert told["lang_pred"] == best and (not own or abs(told["score"] - (1 - distance[best] / (300 * len(own)))) < 1e-9)
+    right = [found[r["doc_id"]]["lang_pred"] == r["lang"] for r in held if r["lang"] is not None]
+    assert len(right) >= 20 and sum(right) >= 0.95 * len(right)
+
+
 def test_mixing(spark, docs, nothing):
     rng = random.Random(4)
     kinds = {0: "fine good", 1: "| ## |", 2: "idiot scum trash"}
