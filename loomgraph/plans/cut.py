@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests), one of our own."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; only where it is unset, on one machine (tests), one of our own.  On a cluster it must be set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if named is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
         named = sc.getCheckpointDir()
