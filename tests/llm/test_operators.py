@@ -395,28 +395,25 @@ def test_passages_behind_unrelated_texts(spark):
     assert all(found[i]["n_links"] == 0 and found[i]["component_id"] == i for i in range(100, 140))
 
 
-def test_runs_of_near_duplicates_have_a_part_in_common():
+def test_rarest_shingles_of_a_window():
+    """Whatever a near duplicate lacks, one of the rarest shingles of some window of the stretch is in it."""
     rng = np.random.default_rng(5)
-    assert passages.run_length(5, 46, 80) == 21
-    for _ in range(200):
-        run = rng.integers(0, 1 << 63, 21, np.uint64)
-        a, b = (np.concatenate((rng.integers(0, 1 << 63, 30, np.uint64), run, rng.integers(0, 1 << 63, 30, np.uint64))) for _ in range(2))
-        assert len(np.intersect1d(passages.selected(a, 21)[0], passages.selected(b, 21)[0]))
-
-
-def test_language(spark, nothing):
-    rng = random.Random(2)
-    letters = {"aa": "abcdeé", "bb": "fghijk", "cc": "lmnop漢"}
-    make = lambda x: " ".join("".join(rng.choice(letters[x]) for _ in range(rng.randint(2, 7))) for _ in range(30))
-    train = spark.createDataFrame([(i, make(x), x, 1) for i, x in enumerate(rng.choices(sorted(letters), k=90))] + [(500, None, "aa", 1), (501, "x", None, 1), (None, "y", "bb", 1)], "doc_id long, text string, lang string, score int")
-    profiles = language.learn(train, per_language=20)
-    held = spark.createDataFrame([(i, make(x), x, 1) for i, x in enumerate(rng.choices(sorted(letters), k=60))], train.schema)
-    found = language.predict(held, profiles).collect()
-    assert all(r["lang"] == r["lang_pred"] and 0 <= r["score"] <= 1 for r in found)
-    odd = spark.createDataFrame([(1, None, "aa", 1), (2, "", None, 1), (3, "12 !?", None, 1), (4, "\u0301", None, 1)], train.schema)
-    assert {(r["lang_pred"], r["score"]) for r in language.predict(odd, profiles).collect()} == {("und", 0.0)}
-    assert {r["lang_pred"] for r in language.predict(held, {}).collect()} == {"und"} and language.learn(nothing) == {}
-    assert language.predict(nothing, profiles).isEmpty()
+    n = passages.rarest_needed(46, 80)
+    assert 10 <= n <= 16
+    for _ in range(300):
+        size = int(rng.integers(46, 140))
+        lacking = np.zeros(size, bool)
+        start = int(rng.integers(0, size))
+        lacking[(start + np.arange(size * 20 // 100)) % size] = True
+        lacking = rng.permutation(lacking) if rng.random() < 0.5 else lacking
+        fewest = min(int(lacking[i : i + 46].sum()) for i in range(size - 45))
+        assert fewest < n
+        # rare by chance, and the texts of what is lacking are others
+        texts = rng.integers(2, 50, size)
+        found = passages.rarest(rng.permutation(size).astype(np.int64), texts, 46, 80)
+        assert (~lacking[found]).any()
+    assert passages.candidate_stretches(np.repeat([False, True, False], (60, 40, 60)), 46, 80) == []
+    assert passages.candidate_stretches(np.repeat([False, True, False], (60, 42, 60)), 46, 80) == [(60, 101)]
 
 
 def _plain_grams(text):
