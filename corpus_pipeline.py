@@ -1,6 +1,11 @@
 """The corpus pipeline: documents go through five stages, each written as Parquet and read again by the next one.
 
 A stage is a function of (spark, docs, sf_dir).  All but the last return the columns of ``documents``; the last one encodes what is left.
+
+Every stage takes whole tables with nulls in any column.  A null text has no words, so the quality rules reject it; a null id is an id like others, and
+documents are told apart by id and text, so neither null nor shared ids lose or tie documents.  Rows that are equal are one document: the near-duplicate
+stage keeps one row of it.  Ties between near copies go to the smallest id, then the smallest hash of the text.  Very long texts are taken whole.  An
+empty table gives an empty table.  Columns beyond those of ``documents`` pass through all stages but the last, which returns the columns it names.
 """
 
 from __future__ import annotations
