@@ -6,6 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,11 +55,22 @@ def _entries(api_only: bool):
     return run
 
 
+def _inside(spark: SparkSession, paths: list[str], accepted: NameFilter) -> Column:
+    """Whether the filter accepts every directory on the way from one of the paths, itself included, down to a file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    roots = [path(p).getFileSystem(conf).makeQualified(path(p)).toString().rstrip("/") for p in paths]
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    under = lambda d: reduce(lambda x, y: x | y, [(d == r) | d.startswith(f"{r}/") for r in roots])
+    return F.forall(F.filter(above, under), accepted)
+
+
 def decoded(spark: SparkSession, paths: list[str], api_only: bool = False, filters: ParsingFilters = ParsingFilters()) -> DataFrame:
     """(origin, entry, byte_size, name, deps) of the class files under some paths.  A path that isn't there is an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
     is_jar = filters.jar(F.col("path")) & ~filters.file(F.col("path"))
-    inside: Column = filters.directory(F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1))
+    inside = _inside(spark, paths, filters.directory)
     wanted = files.filter(inside & (filters.file(F.col("path")) | is_jar)).withColumn("is_jar", is_jar)
     found = wanted.mapInPandas(_entries(api_only), _DECODED)
     return found.filter(filters.entry(F.col("entry")) & filters.class_name(F.col("name")))

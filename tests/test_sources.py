@@ -8,8 +8,9 @@ import zipfile
 import pytest
 
 from loomgraph import cli
+from loomgraph.functions import filters as nf
 from loomgraph.plans.view import ElemType
-from loomgraph.sources import classfile, scan
+from loomgraph.sources import assemble, classfile, scan
 from tests.test_graph import EDGES, OBJ, SIZE, graph_of, n
 
 JAVA = {
@@ -61,6 +62,29 @@ def test_decoder(compiled):
     assert classfile.modified_utf8(b"a\xc0\x80\xed\xa0\xbd\xed\xb8\x80") == "a\0\U0001f600"
 
 
+def test_attributes_of_later_versions_do_not_count():
+    def deps(version, api=False, access=assemble.PUBLIC):
+        w = assemble.ClassWriter("a/A", "b/B", access, version)
+        w.field(assemble.PUBLIC, "f", "Lc/C;", w.signature("Ld/D<Le/E;>;"))
+        w.method(assemble.PRIVATE, "m", "()V", w.exceptions("x/X"))
+        w.attributes.append(w.annotations("Lm/M;"))
+        return classfile.decode(w.bytes(), api)[1]
+
+    assert deps((48, 0)) == ["b.B", "c.C", "x.X"] and deps((49, 0)) == ["b.B", "c.C", "d.D", "e.E", "m.M", "x.X"]
+    assert deps((45, 2)) == deps((48, 0)) and deps((52, 0), True) == ["b.B", "c.C", "d.D", "e.E"]
+    assert deps((52, 0), True, access=0) == []
+
+
+def test_directories_on_the_way(spark, tmp_path):
+    """A directory that isn't accepted hides what is below it; the path itself is a directory too."""
+    for name in ("a/A", "a/b/B", "c/C"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"{name}.class").write_bytes(assemble.ClassWriter(name).bytes())
+    found = lambda f: {r["name"] for r in scan.decoded(spark, [str(tmp_path)], filters=scan.ParsingFilters(directory=f)).collect()}
+    assert found(nf.ANY) == {"a.A", "a.b.B", "c.C"} and found(nf.negated(nf.ends_with("/a"))) == {"c.C"}
+    assert found(nf.negated(nf.ends_with("/b"))) == {"a.A", "c.C"} and found(nf.negated(nf.ends_with(tmp_path.name))) == set()
+
+
 def test_scan(spark, compiled):
     code = scan.code_graph(spark, [str(compiled / "out")])
     sizes = {r["name"]: r["byte_size"] for r in code.class_vertices.collect()}
