@@ -78,6 +78,11 @@ def ancestor_packages(package: Column) -> Column:
     return F.when(package == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), deeper))
 
 
+def tree_path(package: Column) -> Column:
+    """A package's parts; arrays of them sort as a walk through the package tree goes, a package before what is below it."""
+    return F.when(package == "", F.array().cast("array<string>")).otherwise(F.split(package, r"\."))
+
+
 def split_name(c: Column) -> Column:
     """The parts of a name; raises an error at an empty part."""
     parts = F.split(c, r"\.")

@@ -1,13 +1,15 @@
 """Cycles inside strongly connected components.
 
 Cycles up to a size come from a loop of joins that extends paths whose smallest vertex is their start.  What is sequential by nature (all cycles of
-any size, shortest covering cycles, some cycles) runs on one component at a time, in a grouped function that works on dictionaries of the component.
+any size, shortest covering cycles, some cycles) runs on one component at a time, on dictionaries of the component: cycles are handed on in batches as they
+are found, and a search ends with the last cycle that is asked for.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -159,15 +161,38 @@ def some(successors: dict[str, list[str]], max_size: int) -> Iterator[list[str]]
 KERNELS: dict[str, Callable[[dict[str, list[str]], int], Iterator[list[str]]]] = {"all": elementary, "shortest": covering, "some": some}
 
 
-def component_cycles(inner: DataFrame, kind: str, max_size: int) -> DataFrame:
-    """(root, nth, names) of a component's cycles, in the order in which they are found."""
-    kernel = KERNELS[kind]
+def _in_one_class(cycle: list[str]) -> bool:
+    """Whether all names are of one top level class (see ``functions.names``)."""
+
+    def top(name: str) -> str:
+        pack, dot, file = name.rpartition(".")
+        odd = file.startswith("$") or file.endswith("$") or "$$" in file
+        return pack + dot + (file if odd else file.partition("$")[0])
+
+    return len({top(x) for x in cycle}) == 1
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        successors: dict[str, list[str]] = {v: [] for v in sorted({*rows["src"], *rows["dst"]})}
-        for v, w in sorted(zip(rows["src"], rows["dst"], strict=True)):
-            successors[v].append(w)
-        found = [*kernel(successors, max_size)]
-        return pd.DataFrame({"root": [rows["root"].iloc[0]] * len(found), "nth": range(len(found)), "names": found})
+#: Cycles of a batch that a search hands on.
+BATCH = 10_000
+
+
+def component_cycles(inner: DataFrame, kind: str, max_size: int, min_size: int = 2, max_count: int = -1, across_classes: bool = False) -> DataFrame:
+    """(root, nth, names) of a component's cycles, in the order in which they are found.
+
+    min_size, across_classes (not inside one top level class): what counts; a component's search ends after ``max_count`` (unless negative) that do."""
+    kernel = KERNELS[kind]
 
-    return inner.groupBy("root").applyInPandas(run, "root string, nth long, names array<string>").select("root", "nth", normalized(F.col("names")).alias("names"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for root, edges in zip(batch["root"], batch["edges"], strict=True):
+                pairs = sorted((e["src"], e["dst"]) for e in edges)
+                successors: dict[str, list[str]] = {v: [] for v in sorted({x for pair in pairs for x in pair})}
+                for v, w in pairs:
+                    successors[v].append(w)
+                counts = (c for c in kernel(successors, max_size) if len(c) >= min_size and not (across_classes and _in_one_class(c)))
+                found = enumerate(counts if max_count < 0 else islice(counts, max_count))
+                while some := [*islice(found, BATCH)]:
+                    yield pd.DataFrame({"root": [root] * len(some), "nth": [i for i, _ in some], "names": [c for _, c in some]})
+
+    whole = inner.groupBy("root").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+    return whole.mapInPandas(run, "root string, nth long, names array<string>").select("root", "nth", normalized(F.col("names")).alias("names"))

@@ -103,7 +103,8 @@ def _cycles(graph: Graph, kind: str, max_size: int, min_size: int, max_count: in
         found = empty
     else:
         inner = cyc.inner_edges(graph.edges.select("src", "dst"), scc.components(graph.edges))
-        found = cyc.bounded_cycles(inner, max_size) if kind == "all" and max_size > 0 else cyc.component_cycles(inner, kind, max_size).select("names")
+        joined = kind == "all" and max_size > 0 and max_count < 0
+        found = cyc.bounded_cycles(inner, max_size) if joined else cyc.component_cycles(inner, kind, max_size, min_size, max_count, graph.elem_type is ElemType.CLASS).select("names")
     if graph.elem_type is ElemType.CLASS:
         found = found.filter(~_in_one_class(F.col("names")))
     found = found.filter(F.size("names") >= min_size)
@@ -113,7 +114,9 @@ def _cycles(graph: Graph, kind: str, max_size: int, min_size: int, max_count: in
 
 
 def all_cycles(graph: Graph, max_size: int = -1, min_size: int = 2, max_count: int = -1) -> DataFrame:
-    """(size, names, causes) of all elementary cycles; 0 as limit finds none, a negative one is none.  ``max_count`` keeps the first by size and names."""
+    """(size, names, causes) of all elementary cycles; 0 as limit finds none, a negative one is none.
+
+    The search of a component ends after ``max_count`` cycles; of those of all components the first by size and names are kept."""
     return _cycles(graph, "all", max_size, min_size, max_count)
 
 

@@ -6,6 +6,10 @@ from collections.abc import Iterator
 from itertools import groupby
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.names import DEFAULT_PACKAGE
+from ..plans.view import CodeGraph, ElemType
 
 _INDENT = "   "
 
@@ -39,6 +43,24 @@ def graph_lines(rows: DataFrame, causes: bool = True) -> Iterator[str]:
                 yield f"{pad}{_INDENT}-> {r['dep']}"
 
 
+def tree_lines(code: CodeGraph, verbose: bool = False) -> Iterator[str]:
+    """The package tree: each package, its classes with what they depend on, then the packages in it; ``verbose`` adds sizes, class files and causes."""
+    classes = code.ordered(ElemType.CLASS).join(code.class_edges.groupBy(F.col("src").alias("name")).agg(F.sort_array(F.collect_set("dst")).alias("deps")), "name", "left")
+    files = code.files.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("file_no_ext", "byte_size"))).alias("files"))
+    rows = classes.join(files, "name", "left").select("path", "file", "name", "byte_size", "deps", "files", F.lit(None).cast("array<struct<dst:string,causes:array<string>>>").alias("causes"))
+    causes = code.package_edges.groupBy(F.col("src").alias("name")).agg(F.sort_array(F.collect_list(F.struct("dst", "causes"))).alias("causes"))
+    packages = code.ordered(ElemType.PACKAGE).join(causes, "name", "left").select("path", F.lit(None).cast("string").alias("file"), "name", "byte_size", F.lit(None).cast("array<string>").alias("deps"), F.lit(None).cast("array<struct<file_no_ext:string,byte_size:bigint>>").alias("files"), "causes")
+    for r in rows.unionByName(packages).orderBy("path", F.asc_nulls_first("file")).toLocalIterator():
+        if r["file"] is None:
+            yield (r["name"] or DEFAULT_PACKAGE) + (f" ({r['byte_size']} bytes)" if verbose else "")
+            if verbose:
+                yield from (f"{_INDENT}on {c['dst']} by {', '.join(c['causes'])}" for c in r["causes"] or ())
+        else:
+            found = ", ".join(f"{x['file_no_ext']}={x['byte_size']}" for x in r["files"] or ())
+            yield f" {r['name']}" + (f" ({r['byte_size']} bytes: {found})" if verbose else "")
+            yield from (f"{_INDENT}-> {x}" for x in r["deps"] or ())
+
+
 def dot_lines(rows: DataFrame, name: str = "graph") -> Iterator[str]:
     """A directed graph in DOT; an element without shown successor stands alone."""
     yield f'digraph "{name}" {{'

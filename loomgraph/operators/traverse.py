@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..plans.cut import materialize
 from . import local
 
+#: Rounds after which the tables of what has been seen are written as one.
+TOGETHER = 8
+
 
 def _few(edges: DataFrame, *sets: DataFrame) -> tuple | None:
     """The edges and sets as Python collections, if all of them are small."""
@@ -29,6 +32,11 @@ def _next(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(frontier.select(F.col("name").alias("src")), "src", "left_semi").select(F.col("dst").alias("name")).distinct()
 
 
+def _gathered(seen: DataFrame, step: int) -> DataFrame:
+    """What has been seen; written as one table after 8, 16, 32, ... rounds, so that rounds don't read more and more tables and rows are written a few times only."""
+    return materialize(seen, "seen") if step >= TOGETHER and step & (step - 1) == 0 else seen
+
+
 def reach(edges: DataFrame, begin: DataFrame, include_begin: bool, include_reached: bool, max_steps: int = -1) -> DataFrame:
     """(step, name) of every vertex first reached by crossing ``step`` edges; a negative limit is none.
 
@@ -51,8 +59,8 @@ def reach(edges: DataFrame, begin: DataFrame, include_begin: bool, include_reach
             break
         rows.append(found.select(F.lit(step).alias("step"), "name"))
         frontier = found.filter("new").select("name")
-        seen = seen.unionByName(frontier)
-        reported = reported.unionByName(found.filter("not new").select("name"))
+        seen = _gathered(seen.unionByName(frontier), step)
+        reported = _gathered(reported.unionByName(found.filter("not new").select("name")), step)
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -74,13 +82,15 @@ def shortest_path(edges: DataFrame, begin: DataFrame, end: DataFrame) -> DataFra
         if nxt.isEmpty():
             return spark.createDataFrame([], "pos int, name string")
         levels.append(nxt)
-        seen = seen.unionByName(nxt.select("name"))
-    path, name = [hit["name"]], hit["parent"]
-    for level in levels[-2::-1]:
-        path.append(name)
-        if level is not levels[0]:
-            name = level.filter(F.col("name") == name).first()["parent"]
-    return spark.createDataFrame([(i, x) for i, x in enumerate(reversed(path))], "pos int, name string")
+        seen = _gathered(seen.unionByName(nxt.select("name")), len(levels))
+    # the end's ancestors, by steps that double: as many rounds as the path's length has binary digits
+    steps = materialize(reduce(DataFrame.unionByName, levels[1:]), "parents") if len(levels) > 1 else None
+    path = spark.createDataFrame([(0, hit["name"])], "back int, name string")
+    for k in range((len(levels) - 1).bit_length()):
+        further = path.join(steps, "name").select((F.col("back") + (1 << k)).alias("back"), F.col("parent").alias("name"))
+        path = materialize(path.unionByName(further), "path")
+        steps = materialize(steps.select("name", F.col("parent").alias("over")).join(steps.select(F.col("name").alias("over"), "parent"), "over").select("name", "parent"), "parents")
+    return path.select((F.lit(len(levels) - 1) - F.col("back")).alias("pos"), "name")
 
 
 def paths_vertices(edges: DataFrame, begin: DataFrame, end: DataFrame, max_steps: int = -1) -> DataFrame:
@@ -98,7 +108,7 @@ def paths_vertices(edges: DataFrame, begin: DataFrame, end: DataFrame, max_steps
             new = materialize(_next(frontier, edges).join(seen, "name", "left_anti"), "step")
             if new.isEmpty():
                 break
-            seen, frontier = seen.unionByName(new), new.join(stop, "name", "left_anti")
+            seen, frontier = _gathered(seen.unionByName(new), step), new.join(stop, "name", "left_anti")
         return materialize(seen, "found")
 
     forward = search(edges, begin, end, True)

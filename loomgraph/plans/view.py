@@ -145,6 +145,26 @@ class CodeGraph:
             return Graph(self.package_vertices, self.package_edges, elem_type)
         return Graph(self.class_vertices, self.class_edges.select("src", "dst", F.lit(None).cast("array<string>").alias("causes")), elem_type)
 
+    def children(self, package: str) -> DataFrame:
+        """(kind, name, byte_size): the classes and packages directly in a package, in tree order."""
+        classes = self.class_vertices.filter(names.package_name(F.col("name")) == package).select(F.lit("class").alias("kind"), "name", "byte_size")
+        below = (F.col("name") != "") & (names.package_name(F.col("name")) == package)
+        return classes.unionByName(self.package_vertices.filter(below).select(F.lit("package").alias("kind"), "name", "byte_size"))
+
+    def nested(self, name: str) -> DataFrame:
+        """(name, byte_size) of the classes inside a class, at any depth."""
+        return self.class_vertices.filter(F.array_contains(names.outer_classes(F.col("name")), name))
+
+    def file_sizes(self, name: str) -> DataFrame:
+        """(file_no_ext, byte_size) of the class files of a class."""
+        return self.files.filter(F.col("name") == name).select("file_no_ext", "byte_size")
+
+    def ordered(self, elem_type: ElemType) -> DataFrame:
+        """(path, file, name, byte_size): elements with what a walk through the package tree orders them by: a package's classes by file name, then its packages."""
+        if elem_type is ElemType.PACKAGE:
+            return self.package_vertices.select(names.tree_path(F.col("name")).alias("path"), F.lit("").alias("file"), "name", "byte_size")
+        return self.class_vertices.select(names.tree_path(names.package_name(F.col("name"))).alias("path"), names.file_name(F.col("name")).alias("file"), "name", "byte_size")
+
     def subtree_class_counts(self) -> DataFrame:
         """(name, classes): the number of classes at or below each package."""
         return self.class_vertices.select(F.explode(names.ancestor_packages(names.package_name(F.col("name")))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("classes"))

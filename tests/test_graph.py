@@ -1,13 +1,14 @@
 """The golden graph of nine classes, small graphs, and random graphs against plain Python."""
 
 import random
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import filters as nf
 from loomgraph.functions import names
-from loomgraph.operators import cycles, local, query, reduce, rules, scc, traverse
+from loomgraph.operators import cycles, local, query, reduce, render, rules, scc, traverse
 from loomgraph.plans.view import CodeGraph, ElemType
 
 P1, P2, P3 = (f"net.example.p{i}" for i in (1, 2, 3))
@@ -203,6 +204,39 @@ def test_loops_against_plain_python(spark):
         assert {(r["name"], r["root"]) for r in scc.components(edges).collect()} == roots
 
 
+def test_a_search_ends_with_the_last_cycle_asked_for(spark, kernels):
+    """A complete graph of 100 has more cycles than can be counted."""
+    ball = graph_of(spark, [(f"c{i:03}", f"c{j:03}") for i in range(100) for j in range(100) if i != j]).graph(ElemType.CLASS)
+    inner = ball.edges.select(F.lit("c000").alias("root"), "src", "dst")
+    for most in (-1, 60):
+        found = cycles.component_cycles(inner, "all", most, 3, 2, True).collect()
+        assert len(found) == 2 and all(len(r["names"]) >= 3 for r in found)
+    hundred = {f"v{i:03}": [f"v{j:03}" for j in range(100) if j != i] for i in range(100)}
+    assert len([*islice(cycles.some(hundred, -1), 2)]) == 2
+    nested = graph_of(spark, [("a.A", "a.A$B"), ("a.A$B", "a.A"), ("a.A", "a.C"), ("a.C", "a.A")]).graph(ElemType.CLASS).kept
+    assert [r["names"] for r in query.all_cycles(nested, max_count=1).collect()] == [["a.A", "a.C"]]
+
+
+def test_a_long_way(spark):
+    """A chain is walked back by doubled steps, and what has been seen is gathered on the way."""
+    edges = spark.createDataFrame([(f"v{i:03}", f"v{i + 1:03}") for i in range(20)] + [("v003", "w"), ("w", "v005")], "src string, dst string")
+    one = lambda x: spark.createDataFrame([(x,)], "name string")
+    path = sorted((r["pos"], r["name"]) for r in traverse.shortest_path(edges, one("v000"), one("v020")).collect())
+    assert [x for _, x in path] == [f"v{i:03}" for i in range(21)]
+    assert traverse.reach(edges, one("v000"), True, False).count() == 22
+
+
+def test_tree_and_accessors(spark, golden):
+    lines = [*render.tree_lines(golden)]
+    assert lines[:4] == ["[default package]", "java", "java.lang", f" {OBJ}"] and lines[4:7] == ["net", "net.example", P1]
+    assert lines[7:11] == [f" {n(1)}", f"   -> {OBJ}", f"   -> {n(2)}", f"   -> {n(3)}"]
+    assert f" {n(8)} (890 bytes: C8=890)" in [*render.tree_lines(golden, verbose=True)] and f"   on {P1} by {n(5)}, {n(6)}" in [*render.tree_lines(golden, verbose=True)]
+    assert {(r["kind"], r["name"]) for r in golden.children("net.example").collect()} == {("package", P1), ("package", P2), ("package", P3)}
+    assert [r["file_no_ext"] for r in golden.file_sizes(n(8)).collect()] == ["C8"] and golden.nested(n(8)).isEmpty()
+    ordered = [r["name"] for r in golden.ordered(ElemType.PACKAGE).orderBy("path").collect()]
+    assert ordered == ["", "java", "java.lang", "net", "net.example", P1, P2, P3]
+
+
 def test_empty_graph(spark):
     g = graph_of(spark, [], [("a.A", 5)]).graph(ElemType.CLASS).kept
     assert query.deps(g, nf.ANY).isEmpty() and query.sccs(g).isEmpty() and query.all_cycles(g).isEmpty()
