@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import filters as nf
 from .functions import names
 from .operators import query as q
 from .operators import reduce as r
-from .operators import rules
+from .operators import render, rules, scc
 from .plans.view import CodeGraph, ElemType
-from .sources import tables
+from .sources import scan, tables
 
 C, P = ElemType.CLASS, ElemType.PACKAGE
 #: Begin and end sets of the queries.
@@ -143,6 +143,141 @@ _register("somecycles_exists", lambda g: q.some_cycles(_kept(g)).agg((F.count(F.
 _register("illegal_direct_deps", lambda g: rules.illegal_deps(_kept(g), [rules.Allowed(_ASIA, (nf.starts_with_name("ASIA"), nf.starts_with_name("EUROPE")))]).select("dep"), f"{_EDGES} select distinct dst as dep from e where src like 'ASIA.%' and not (dst like 'ASIA.%' or dst like 'EUROPE.%')")
 _register("allowed_cycle_violations", lambda g: _cycle_text(rules.illegal_cycles(_kept(g, P), [["ASIA", "EUROPE"]])), f"{_EDGES}, {_paths('pe', 6)} select cycle, cast(size as bigint) as size from y where cycle <> 'ASIA>EUROPE'")
 
+# exact cycles: in a graph in which all depend on all, the shortest covering cycles are the pairs, and the search by name closes one cycle for each edge back
+_register("scycles_exact", lambda g: _cycle_text(q.shortest_cycles(_kept(g))), f"{_EVENTS} select e.src || '>' || e.dst as cycle, cast(2 as bigint) as size from e join e b on b.src = e.dst and b.dst = e.src where e.src < e.dst", tables.event_transitions)
+_register("somecycles_exact", lambda g: _cycle_text(q.some_cycles(_kept(g))), f"{_EVENTS}, vs as (select distinct src as v from e), pr as (select a.v as a, b.v as b from vs a join vs b on a.v < b.v) select string_agg(v, '>' order by v) as cycle, count(*) as size from pr join vs on v between a and b group by a, b", tables.event_transitions)
+_register("cycles_first_found", lambda g: r.count_by_size(q.all_cycles(_kept(g), max_count=4, min_size=3)).agg(F.sum("n").alias("n")), f"{_EVENTS}, {_paths('e', 12)} select cast(least(4, count(*)) as bigint) as n from y where size >= 3", tables.event_transitions)
+
+# graphs with more edges than the driver works on: customers, orders and lines
+_TREE = """with recursive o as (select 'c.' || lpad(o_custkey::varchar, 12, '0') as c, 'o.' || lpad(o_orderkey::varchar, 12, '0') as o from orders),
+l as (select 'o.' || lpad(l_orderkey::varchar, 12, '0') as o, 'l.' || lpad(l_orderkey::varchar, 12, '0') || '_' || l_linenumber as l, 'p.' || lpad(l_partkey::varchar, 12, '0') as p from lineitem),
+e as (select c as src, o as dst from o union select o, c from o union select o, l from l union select l, o from l union select o, p from l)"""
+_C1, _OF_C1 = nf.equals_name("c.000000000001"), "= 'c.000000000001'"
+_P1, _OF_P1 = nf.starts_with("p."), "like 'p.%'"
+_ends = "vt as (select src as name from e union select dst from e)"
+_register("deps_of_orders", lambda g: q.deps(_kept(g), _C1, include_begin=True).select("step", "name"), f"{_TREE}, {_ends}, {_reach(f'name {_OF_C1}', vertices='vt')} {_first}", tables.order_tree)
+_register("shortest_path_orders", lambda g: q.one_shortest_path(_kept(g), _C1, _P1).select("pos", "name"), f"{_TREE}, {_ends}, {_reach(f'name {_OF_C1}', vertices='vt')}, {_walk.replace("like '%.NATION_7'", _OF_P1)} select cast(d as integer) as pos, name from wk", tables.order_tree)
+_register("paths_graph_orders", lambda g: q.paths_graph(_kept(g), _C1, _P1).select("name", "dep"),
+          f"""{_TREE}, f(v) as (select src from e where src {_OF_C1} union select dst from f join e on src = v where v not {_OF_P1}),
+          b(v) as (select v from f where v {_OF_P1} union select src from b join e on dst = v where src in (select v from f) and v not in ('c.000000000001'))
+          select b.v as name, x.dst as dep from b left join (select * from e where dst in (select v from b)) x on x.src = b.v""", tables.order_tree)
+_register("sccs_orders", lambda g: scc.components(_kept(g).edges).groupBy("root").agg(F.count(F.lit(1)).alias("n")), f"{_TREE}, t as (select c, o as v from o union select c, l.l from o join l using (o) union select c, c from o), m as (select c, count(*) as n, min(v) as root from t group by c) select root, n from m", tables.order_tree)
+
+# class files: the nations' classes as files and as a jar, decoded
+_FILES = """with c as (select replace(r_name, ' ', '_') as r, n_name as n, n_nationkey as k from nation join region on n_regionkey = r_regionkey),
+shown as (select r || '.' || n as src, unnest(['regions.' || r, 'shown.F' || k % 3, 'param.P', 'errors.E'] || case when k % 2 = 0 then ['java.lang.Object', 'generic.S' || k % 5] else [] end) as dst from c),
+own as (select * from shown union select r || '.' || n, unnest(['constants.C' || k % 4, 'called.N' || k % 3, 'hidden.G' || k % 2, r || '.' || n || '$In'] || case when k % 2 = 0 then ['mark.A'] else [] end) from c
+        union select r || '.' || n || '$In', unnest(['java.lang.Object', 'nested.Q']) from c),
+merged as (select distinct split_part(src, '$', 1) as src, split_part(dst, '$', 1) as dst from own where split_part(src, '$', 1) <> split_part(dst, '$', 1))"""
+
+
+def _scanned(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    _FOUND[name] = (make, f"{_FILES} {sql}")
+
+
+_edges = lambda code: code.class_edges.select("src", "dst")
+_scanned("scan_files_full", lambda s, d: _edges(scan.code_graph(s, [tables.class_files(s, d)], merge_nested=False)), "select src, dst from own")
+_scanned("scan_files_api", lambda s, d: _edges(scan.code_graph(s, [tables.class_files(s, d)], merge_nested=False, api_only=True)), "select src, dst from shown")
+_scanned("scan_files_merged", lambda s, d: _edges(scan.code_graph(s, [tables.class_files(s, d)])), "select src, dst from merged")
+_scanned("scan_one_file", lambda s, d: scan.decoded(s, [f"{tables.class_files(s, d)}/EUROPE/NATION_8.class"]).select("name", F.array_join("deps", ",").alias("deps")), "select src as name, string_agg(dst, ',' order by dst) as deps from own where src = 'EUROPE.NATION_8' group by 1")
+_scanned("scan_jar", lambda s, d: _edges(scan.code_graph(s, [tables.class_files(s, d, as_jar=True)], merge_nested=False)), "select src, dst from own")
+_scanned("scan_jar_entries", lambda s, d: scan.decoded(s, [tables.class_files(s, d, as_jar=True)], filters=scan.ParsingFilters(entry=nf.starts_with("ASIA/"))).select("entry", "name"), "select replace(src, '.', '/') || '.class' as entry, src as name from own where src like 'ASIA.%' group by src")
+_scanned("scan_class_names", lambda s, d: _edges(scan.code_graph(s, [tables.class_files(s, d)], filters=scan.ParsingFilters(class_name=nf.negated(nf.ends_with("$In"))))), "select distinct split_part(src, '$', 1) as src, split_part(dst, '$', 1) as dst from own where src not like '%$In' and split_part(src, '$', 1) <> split_part(dst, '$', 1)")
+_scanned("scan_directories", lambda s, d: scan.decoded(s, [tables.class_files(s, d)], filters=scan.ParsingFilters(directory=nf.negated(nf.ends_with("/EUROPE")))).select("name"), "select distinct src as name from own where src not like 'EUROPE.%'")
+_scanned("scan_no_directory", lambda s, d: scan.decoded(s, [tables.class_files(s, d)], filters=scan.ParsingFilters(directory=nf.ends_with("/ASIA"))).select("name"), "select src as name from own where false")
+_scanned("scan_vertices", lambda s, d: scan.code_graph(s, [tables.class_files(s, d)]).class_vertices.select("name", (F.col("byte_size") > 0).alias("parsed")), "select name, name in (select src from merged) as parsed from (select src as name from merged union select dst from merged)")
+_scanned("scan_two_sources", lambda s, d: _edges(scan.code_graph(s, [f"{tables.class_files(s, d)}/ASIA"]).union(scan.code_graph(s, [tables.class_files(s, d, as_jar=True)], api_only=True))), "select src, dst from merged where src like 'ASIA.%' union select src, dst from shown")
+_scanned("scan_package_edges", lambda s, d: _texts(scan.code_graph(s, [tables.class_files(s, d)]).package_edges), "select regexp_extract(src, '^(.*)[.]', 1) as src, regexp_extract(dst, '^(.*)[.]', 1) as dst, string_agg(distinct src, ',' order by src) as causes from merged group by 1, 2")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming import incremental
+
+    top = tables.class_files(spark, sf_dir)
+    incremental.start(incremental.decoded_stream(spark, top), f"{top}-table", f"{top}-state").awaitTermination()
+    return _edges(incremental.graph_so_far(spark, f"{top}-table"))
+
+
+_scanned("stream_of_class_files", _streamed, "select src, dst from merged")
+
+# editing a graph, its elements, and the tree of packages
+_rows = lambda g, rows, schema: g.deps.sparkSession.createDataFrame(rows, schema)
+_register("edit_with_dependency", lambda g: g.with_dependency(_rows(g, [("EUROPE.NATION_8", "OTHER.X"), ("EUROPE.NATION_8", "OTHER.X")], "src string, dst string")).package_edges.select("src", "dst"), f"{_EDGES} select src, dst from pe union select 'EUROPE', 'OTHER'")
+_register("edit_without_dependency", lambda g: _texts(g.without_dependency(g.class_edges.filter("src like 'ASIA.%7' or dst like 'EUROPE.%'")).package_edges), f"{_EDGES} select split_part(src, '.', 1) as src, split_part(dst, '.', 1) as dst, string_agg(distinct src, ',' order by src) as causes from e where not (src like 'ASIA.%7' or dst like 'EUROPE.%') and split_part(src, '.', 1) <> split_part(dst, '.', 1) group by 1, 2")
+_register("edit_without_classes", lambda g: _edges(g.without(nf.ends_with("8"))), f"{_EDGES} select src, dst from e where src not like '%8' and dst not like '%8'")
+_register("edit_without_package", lambda g: g.without_package("ASIA").class_vertices, f"{_EDGES} select name, byte_size from v where name not like 'ASIA.%' and (name in (select name from sz) or name in (select src from e where dst not like 'ASIA.%') or name in (select dst from e where src not like 'ASIA.%'))")
+_register("edit_union", lambda g: g.union(CodeGraph.of(_rows(g, [("EUROPE.NATION_8", 5), ("OTHER.X$Y", 7)], "name string, byte_size long"), _rows(g, [("OTHER.X$Y", "EUROPE.NATION_8")], "src string, dst string"))).class_vertices, f"{_EDGES} select name, byte_size from v union all select 'OTHER.X', 0 union all select 'OTHER.X$Y', 7")
+_register("children_of_root", lambda g: g.children(""), f"{_EDGES} select 'package' as kind, name, byte_size from pv where name <> ''")
+_register("children_of_package", lambda g: g.children("ASIA"), f"{_EDGES} select 'class' as kind, name, byte_size from v where name like 'ASIA.%'")
+_register("nested_and_files", lambda g: (lambda x: x.nested("EUROPE.NATION_8").join(x.file_sizes("EUROPE.NATION_8$In").withColumnRenamed("byte_size", "file_size")))(CodeGraph.of(g.files.withColumn("name", F.concat("name", F.lit("$In"))).drop("file_no_ext"), g.deps)), f"{_EDGES} select name || '$In' as name, byte_size, split_part(name, '.', 2) || '$In' as file_no_ext, byte_size as file_size from sz where name = 'EUROPE.NATION_8'")
+_register("tree_order", lambda g: g.ordered(C).select(F.row_number().over(Window.orderBy("path", "file")).alias("pos"), "name"), f"{_EDGES} select cast(row_number() over (order by split_part(name, '.', 1), split_part(name, '.', 2)) as integer) as pos, name from v")
+_register("view_that_changes_nothing", lambda g: g.inverted(False).retaining(nf.ANY).class_edges, f"{_EDGES} select src, dst, src as cause from e")
+_register("view_settings", lambda g: (lambda x: x.class_vertices.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(x.inverse).alias("inverse"), F.lit(str(x.retained)).alias("retained")))(g.inverted().retaining(nf.any_of(nf.NONE, nf.starts_with("A")))), f"{_EDGES}, i as (select dst as src, src as dst from e where dst like 'A%') select count(*) as n, true as inverse, 'or(none,startsWith(A))' as retained from (select src from i union select dst from i union select name from sz where name like 'A%')")
+_register("in_one_class", lambda g: g.class_vertices.select("name", q._in_one_class(F.array("name", F.concat("name", F.lit("$A$B")))).alias("nested"), q._in_one_class(F.array("name", F.lit("x.Y"))).alias("other")), f"{_EDGES} select name, true as nested, false as other from v")
+
+# more names and filters
+_register("names_text", lambda g: g.class_vertices.select(names.slashed(F.col("name")).alias("slashed"), names.doted(names.slashed(F.col("name"))).alias("doted"), names.quoted(F.col("name")).alias("quoted"), names.is_pathological(F.concat(names.file_name(F.col("name")), F.lit("$"))).alias("odd"), F.array_join(names.split_name(F.col("name")), "|").alias("parts"), F.col("name").rlike(f"^{names.to_regex('EUROPE.NATION_8')}$").alias("same")),
+          f"""{_EDGES} select replace(name, '.', '/') as slashed, name as doted, '"' || name || '"' as quoted, true as odd, replace(name, '.', '|') as parts, name = 'EUROPE.NATION_8' as same from v""")
+_register("matches_none", lambda g: q.matches(g.graph(C), nf.NONE), f"{_EDGES} select name, byte_size from v where false")
+_register("matches_own_filter", lambda g: q.matches(g.graph(C), nf.NameFilter("long names", lambda c: F.length(c) > 15)), f"{_EDGES} select name, byte_size from v where length(name) > 15")
+_register("filter_texts", lambda g: g.class_vertices.limit(1).select(F.lit(str(nf.all_of(nf.starts_with("A"), nf.negated(nf.ends_with("B")), nf.any_of(nf.NONE, nf.contains("C"))))).alias("text")), "select 'and(startsWith(A),not(endsWith(B)),or(none,contains(C)))' as text")
+
+# reductions
+_asia = f"{_EDGES}, {_reach("name = 'ASIA'", 'pe', vertices='pv')}, dg as (select f.name, step, dst as dep, coalesce(causes, '') as causes from ({_first}) f left join pe on src = f.name)"
+_graph_of_asia = lambda g: q.deps_graph(_kept(g, P), nf.equals_name("ASIA"), include_begin=True)
+_register("graph_merged", lambda g: _texts(r.merged(_graph_of_asia(g))), f"{_asia} select name, dep, causes from dg")
+_register("graph_causeless", lambda g: r.causeless(_graph_of_asia(g)), f"{_asia} select step, name, dep from dg")
+_register("graph_merged_and_causeless", lambda g: r.merged_and_causeless(_graph_of_asia(g)), f"{_asia} select name, dep from dg")
+_path_of = lambda g: q.one_shortest_path(_kept(g), _START, nf.ends_with_name("NATION_7"))
+_walked = f"{_EDGES}, {_reach(f'name {_BEGIN}')}, {_walk}"
+_register("path_causeless", lambda g: r.causeless(_path_of(g)), f"{_walked} select cast(d as integer) as pos, name from wk")
+_register("path_as_graph", lambda g: r.causeless(r.graph_of_path(_path_of(g))), f"{_walked} select wk.name, n.name as dep from wk left join wk n on n.d = wk.d + 1")
+
+# rules that forbid, and reports
+_register("forbidden_direct_deps", lambda g: rules.illegal_deps(_kept(g), [rules.Allowed.not_on(_ASIA, (nf.matches(".*N_[0-9]"),)), rules.Allowed.not_on(_ASIA, ())]), f"{_EDGES} select distinct 0 as rule, dst as dep from e where src like 'ASIA.%' and regexp_full_match(dst, '.*N_[0-9]')")
+
+
+def _numbered(g: CodeGraph, lines) -> DataFrame:
+    return _rows(g, [*enumerate(lines)], "pos int, line string")
+
+
+def _rule_report(g: CodeGraph) -> DataFrame:
+    said: list[str] = []
+    unit = rules.DepUnit(g, write=said.append)
+    unit.add_illegal_direct_deps(C, _ASIA, [nf.matches(".*N_[0-9]")])
+    try:
+        unit.check_deps(C)
+    except AssertionError as e:
+        said.append(str(e))
+    return _numbered(g, said)
+
+
+_register("rule_report", _rule_report, f"{_EDGES}, x as (select dst, min(src) as src from e where src like 'ASIA.%' and regexp_full_match(dst, '.*N_[0-9]') group by dst), t as (select dst, 'illegal dependency of startsWithName(ASIA) on ' || dst || ': ' || src || ' -> ' || dst as line from x union all select '~', 'there are illegal dependencies' from x having count(*) > 0) select cast(row_number() over (order by dst) - 1 as integer) as pos, line from t")
+
+
+def _cycle_report(g: CodeGraph) -> DataFrame:
+    said: list[str] = []
+    unit = rules.DepUnit(g, write=said.append)
+    unit.add_allowed_cycle(P, ["EUROPE", "ASIA"])
+    try:
+        unit.check_cycles(P)
+    except AssertionError as e:
+        said.append(str(e))
+    return _numbered(g, said)
+
+
+_register("cycle_report", _cycle_report, f"{_EDGES}, {_paths('pe', 6)}, z as (select * from y where cycle <> 'ASIA>EUROPE'), t as (select size, string_split(cycle, '>') as l, 'illegal cycle: ' || replace(cycle, '>', ' -> ') || ' -> ' || split_part(cycle, '>', 1) as line from z union all select 99, [], 'there are illegal cycles' from z having count(*) > 0) select cast(row_number() over (order by size, l) - 1 as integer) as pos, line from t")
+
+# texts
+_pos = "select cast(row_number() over (order by {}) - 1 as integer) as pos, line from t"
+_register("text_of_deps", lambda g: _numbered(g, render.deps_lines(q.deps(_kept(g), _START, include_begin=True))), f"{_EDGES}, {_reach(f'name {_BEGIN}')}, x as ({_sized}), t as (select distinct step, '' as name, 'step ' || step || ':' as line from x union all select step, name, '   ' || name || ': ' || byte_size from x) {_pos.format('step, name')}")
+_register("text_of_graph", lambda g: _numbered(g, render.graph_lines(r.merged(_graph_of_asia(g)))), f"{_asia}, t as (select distinct name, '' as dep, -1 as k, name as line from dg union all select name, dep, i, case when i < len(l) then '      ' || l[i + 1] else '   -> ' || dep end from (select name, dep, string_split(causes, ',') as l, unnest(range(0, len(string_split(causes, ',')) + 1)) as i from dg where dep is not null)) {_pos.format('name, dep, k')}")
+_register("text_of_dot", lambda g: _numbered(g, render.dot_lines(_graph_of_asia(g), "asia")), f"""{_asia}, t as (select distinct 1 as k, name, coalesce(dep, '') as dep, '   "' || name || '"' || coalesce(' -> "' || dep || '"', '') || ';' as line from dg union all select 0, '', '', 'digraph "asia" {{' union all select 2, '', '', '}}') {_pos.format('k, name, dep')}""")
+_register("text_of_path", lambda g: _numbered(g, render.path_lines(_path_of(g))), f"{_walked}, t as (select d, name as line from wk) {_pos.format('d')}")
+_register("text_of_sccs", lambda g: _numbered(g, render.scc_lines(q.sccs(_kept(g)))), f"{_EDGES}, {_closure()}, {_ids}, rw as (select scc_id, scc_size, name, byte_size from k join o using (root) join v using (name)), t as (select scc_id, '' as name, 'SCC ' || (scc_id + 1) || ' (' || count(*) || ' elements, ' || cast(sum(byte_size) as bigint) || ' bytes):' as line from rw group by scc_id union all select scc_id, name, '   ' || name || ': ' || byte_size from rw) {_pos.format('scc_id, name')}")
+_register("text_of_cycles", lambda g: _numbered(g, render.cycle_lines(q.all_cycles(_kept(g), 3))), f"{_EVENTS}, {_paths('e', 3)}, nl as (select row_number() over (order by size, string_split(cycle, '>')) as nr, string_split(cycle, '>') as l from y), t as (select nr, unnest(range(0, len(l) + 2)) as k, l from nl), u as (select nr, k, case when k = 0 then 'CYCLE ' || nr || ':' else '   ' || l[(k - 1) % len(l) + 1] end as line from t) {_pos.format('nr, k').replace('from t', 'from u')}", tables.event_transitions)
+_register("text_of_tree", lambda g: _numbered(g, render.tree_lines(g)), f"{_EDGES}, t as (select name as p, '' as n, '' as d, case when name = '' then '[default package]' else name end as line from pv union all select split_part(name, '.', 1), name, '', ' ' || name from v union all select split_part(src, '.', 1), src, dst, '   -> ' || dst from e) {_pos.format('p, n, d')}")
+
 # packages defined in several places: names of parts by brand, the place is the size
 def _split_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.rules import split_packages
