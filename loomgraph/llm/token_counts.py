@@ -3,7 +3,8 @@
 For every prefix of a word, ``last`` holds the last token of the prefix's encoding: the one token ending there that may stand
 after the last token of what precedes it.  Two tokens may stand side by side if the merges leave them as they are, which depends on
 these two alone.  So the count at every prefix follows from a shorter prefix without encoding anything again, and a text has an
-exact count at the end of each of its words; truncation and budget questions are answered by bisecting these counts.
+exact count at the end of each of its words, and at each letter of a word that is asked for; truncation and budget questions are answered by
+bisecting these counts.  A corpus-wide count asks for whole words only, each distinct word of a task once.
 
 Nulls and empty texts count as no tokens, zero bytes.  A very long text is one row of its own slice.  Repeated rows give equal
 rows.  Extra columns pass through; the operator's output columns replace columns of the same name.
@@ -15,7 +16,7 @@ import json
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -148,6 +149,17 @@ class PrefixCounter:
         """How many words from the start of the text fit into a budget of tokens."""
         return bisect_right(self.cumulated(text), budget)
 
+    def fit(self, text: str | None, budget: int) -> tuple[int, int]:
+        """How many words from the start of the text fit into a budget of tokens, and how many letters (bytes) of the next word at most."""
+        counts = self.cumulated(text)
+        words = bisect_right(counts, budget)
+        if words == len(counts):
+            return words, 0
+        left = budget - (counts[words - 1] if words else 0)
+        word = next(islice(self.pieces(text), words, None))
+        inside = [] if word in self.specials else self.prefixes(word)
+        return words, max((i for i, n in enumerate(inside, 1) if n <= left), default=0)
+
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int, text: str = "text", with_prefixes: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_tokens, over_limit (n_tokens above ``limit``) and, if asked for, prefix_tokens (the count at each word's end).

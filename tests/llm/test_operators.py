@@ -92,6 +92,14 @@ def test_token_counts(docs, nothing, texts):
     text = texts[0]
     fit = counter.words_within(text, 50)
     assert count(" ".join(text.split(" ")[:fit])) <= 50 < count(" ".join(text.split(" ")[: fit + 1]))
+    long = "internationalization of counterrevolutionaries " + text
+    for budget in (0, 1, 2, 3, 4, 5, 7, 30, 10_000):
+        k, letters = counter.fit(long, budget)
+        split = long.split(" ")
+        cut = lambda i, k=k: " ".join([*split[:k], split[k][:i]]) if k < len(split) else long
+        fits = [i for i in range(len(split[k]) + 1) if count(cut(i).rstrip(" ")) <= budget] if k < len(split) else [0]
+        assert letters == max(fits), budget
+    assert counter.fit(None, 5) == counter.fit("", 5) == (0, 0)
     assert token_counts.count_tokens(nothing, path, 100).isEmpty()
 
 
