@@ -1,12 +1,13 @@
 """Exact links between similar sets, from shared min-hash buckets (DataFrame operations only).
 
-Items have an ``id``, the size ``n`` of their set, 1-bit min-hashes packed in longs (``bits``) and a row (id, bucket) for each band.  No
-group's pairs are all emitted:
+Items have an ``id``, the size ``n`` of their set, 1-bit min-hashes packed in longs (``bits``) and a row (id, bucket) for each band.  A
+group's pairs are not emitted as such:
 
 1. Every member of a bucket is paired with one pivot of it, the member with the smallest share of elements that no other candidate
    has.  Bounds rule pairs out, the others are confirmed on the full sets, and the links' components are found.
 2. Buckets whose members are in one component need nothing more.  In the others, members of different components are compared by
-   the same bounds and by a finer one that the caller has, in the first bucket that they share, and what passes is confirmed on the full sets.
+   the same bounds and by a finer one that the caller has, in the first bucket that they share, and what passes is confirmed on the full sets.  Inside
+   such a bucket the bounds are looked at for each two members of different components; only pairs that pass them leave the join.
 
 The bounds: sizes must allow the similarity; so must the elements that occur in two candidates at all (an element of one candidate only
 is in no intersection); and the packed min-hashes must agree as far as a similarity at the threshold would bring about within 4.5 standard deviations.

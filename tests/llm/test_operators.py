@@ -389,6 +389,39 @@ def test_edited_passages_are_found(spark):
     assert all(set(expected[k]) <= told[k] and found[k]["component_id"] == k - k % 2 and found[k]["n_links"] == 1 for k in expected)
 
 
+#: (words of a passage, words of it changed): with five-word shingles all are at a similarity of 0.8 or more.
+EDITS = [(50, 0), (60, 0), (60, 1), (100, 1), (100, 2), (200, 3)]
+
+
+def test_recall_of_passages_by_edits(spark):
+    """Of the passages of each kind nine in ten are found in both documents or more, and nothing is found in documents that share 40 words only."""
+    rng = random.Random(23)
+    fresh = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+    rows, pairs = [], []
+    for size, edits in EDITS:
+        for _ in range(40):
+            passage = fresh(size)
+            changed = list(passage)
+            # edits that part the passage evenly
+            for e in range(edits):
+                changed[(e + 1) * size // (edits + 1)] = fresh(1)[0]
+            pairs.append((len(rows), size, edits))
+            rows += [" ".join(fresh(40) + x + fresh(50)) for x in (passage, changed)]
+    apart = len(rows)
+    for _ in range(40):
+        passage = fresh(40)
+        rows += [" ".join(fresh(60) + passage + fresh(60)) for _ in range(2)]
+    found = {r["doc_id"]: r for r in passages.repeated_passages(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")).collect()}
+    told = lambda i: {p for part in found[i]["passages"].split(",") if part for p in range(*map(int, part.split("-")))}
+    caught = Counter()
+    for i, size, edits in pairs:
+        expected = set(range(40 + 4, 40 + size - 4))
+        caught[size, edits] += all(len(expected & told(j)) >= 0.9 * len(expected) and found[j]["component_id"] == i for j in (i, i + 1))
+    print(dict(caught))
+    assert all(caught[x] >= 36 for x in EDITS), caught
+    assert all(found[i]["n_passages"] == 0 and found[i]["component_id"] == i for i in range(apart, len(rows)))
+
+
 def test_passages_behind_unrelated_texts(spark):
     """One sentence of 30 words that every text has; pairs of texts have more around it."""
     rng = random.Random(13)
