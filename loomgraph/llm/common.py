@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -26,14 +24,6 @@ def if_few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that have ended: it does so when the driver collects its garbage, which otherwise happens rarely."""
-    gc.collect()
-    spark._jvm.System.gc()
-    # the files go a moment later
-    time.sleep(1)
-
-
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow``, after this package has been sent to the executors, which need not have it installed."""
     sc = df.sparkSession.sparkContext
