@@ -351,6 +351,15 @@ def test_passages(docs, nothing):
     assert passages.repeated_passages(nothing).isEmpty()
     tree = passages.compact_windows(np.array([5, 3, 8, 1, 9, 2], np.uint64), 2)
     assert sorted(tree) == [(0, 1, 2), (0, 3, 5), (4, 5, 5)]
+    rng = np.random.default_rng(6)
+    for sizes, least in (((46, 60, 500, 46), 46), ((300, 1, 5), 1), ((77, 7, 30), 7)):
+        values = rng.integers(0, 1 << 63, sum(sizes), np.uint64)
+        values[: sizes[0] : 3] = values[1]
+        expected, start = [], 0
+        for n in sizes:
+            expected += sorted(start + c for _, c, _ in passages.compact_windows(values[start : start + n], least))
+            start += n
+        assert passages.centres(values, np.array(sizes), least).tolist() == expected
 
 
 def _shingled(words, size=5):
