@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import materialize
+from ..plans.cut import discard, materialize
 from . import local
 
 #: Rounds after which the tables of what has been seen are written as one.
@@ -55,6 +55,7 @@ def reach(edges: DataFrame, begin: DataFrame, include_begin: bool, include_reach
         new = met.join(seen, "name", "left_anti")
         back = met.join(begin, "name", "left_semi").join(reported, "name", "left_anti") if not include_begin and include_reached else met.limit(0)
         found = materialize(new.select("name", F.lit(True).alias("new")).unionByName(back.select("name", F.lit(False).alias("new"))), "reached")
+        discard(met)
         if found.isEmpty():
             break
         rows.append(found.select(F.lit(step).alias("step"), "name"))
