@@ -445,6 +445,21 @@ def test_passages_behind_unrelated_texts(spark):
     assert all(found[i]["n_links"] == 0 and found[i]["component_id"] == i for i in range(100, 140))
 
 
+def test_chains_of_passages(spark):
+    """Each text is near the one before it only: what has matched one text still meets those of other components."""
+    rng = np.random.default_rng(71)
+    fresh = lambda n: [f"w{x:x}" for x in rng.integers(0, 1 << 60, n)]
+    rows, size = [], 24
+    for chain in range(12):
+        passage = fresh(60)
+        for k in range(size):
+            passage = [*passage]
+            passage[(15, 30, 44, 22, 37)[k % 5]] = f"x{chain}-{k}"
+            rows.append((len(rows), " ".join(fresh(60) + passage + fresh(60))))
+    found = {r["doc_id"]: r["component_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: i - i % size for i in range(len(rows))}
+
+
 def test_rarest_shingles_of_a_window():
     """Whatever a near duplicate lacks, one of the rarest shingles of some window of the stretch is in it."""
     rng = np.random.default_rng(5)
