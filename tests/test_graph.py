@@ -204,6 +204,19 @@ def test_loops_against_plain_python(spark):
         assert {(r["name"], r["root"]) for r in scc.components(edges).collect()} == roots
 
 
+def test_direct_mutual_dependencies_need_no_rounds(spark, monkeypatch):
+    """A chain of pairs that depend on each other is one component without colouring, however long it is; one-way edges can't add to it, a long way round does."""
+    monkeypatch.setattr(local, "SMALL_EDGES", -1)
+    chain = [(f"c{i:02}", f"c{i + 1:02}") for i in range(40)]
+    edges = lambda pairs: spark.createDataFrame(pairs, "src string, dst string")
+    both = chain + [(b, a) for a, b in chain]
+    round_ = [("c20", "x1"), ("x1", "x2"), ("x2", "c03"), ("y1", "y2"), ("y2", "y3"), ("y3", "y1")]
+    whole = {(f"c{i:02}", "c00") for i in range(41)}
+    assert set(map(tuple, scc.components(edges(both + round_)).collect())) == whole | {("x1", "c00"), ("x2", "c00"), ("y1", "y1"), ("y2", "y1"), ("y3", "y1")}
+    monkeypatch.setattr(scc, "_colours", None)
+    assert set(map(tuple, scc.components(edges([*both, ("c05", "z1"), ("z2", "c07")])).collect())) == whole
+
+
 def test_a_search_ends_with_the_last_cycle_asked_for(spark, kernels):
     """A complete graph of 100 has more cycles than can be counted."""
     ball = graph_of(spark, [(f"c{i:03}", f"c{j:03}") for i in range(100) for j in range(100) if i != j]).graph(ElemType.CLASS)
