@@ -279,6 +279,24 @@ def test_recall_of_similar_lines(spark):
     assert len(similar) > 500 and linked <= similar and len(similar - linked) <= 0.005 * len(similar)
 
 
+def test_bounds_on_pairs_of_lines(spark):
+    """Every pair at the similarity may link; of short lines with other lengths or with more of their own than the similarity allows, none."""
+    rng = np.random.default_rng(74)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    rows = []
+    for _ in range(40):
+        words = [word() for _ in range(12)]
+        for k in range(6):
+            rows.append((len(rows), " ".join([*words[: 12 - k // 2], *(word() for _ in range(k % 2))])))
+    sets = {i: letters_of(line) for i, line in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    about = lines._fine(spark.createDataFrame(rows, "id long, line string"), 10)
+    side = lambda n: about.select((F.col("id") / 6).cast("int").alias("family"), F.struct(*about.columns).alias(n))
+    met = side("x").join(side("y"), "family").filter("x.id < y.id").select("x.id", F.col("y.id").alias("other"), lines._could_link("x", "y", 80).alias("may")).collect()
+    assert len(met) == 40 * 15 and all(r["may"] for r in met if alike(r["id"], r["other"]) >= 0.8)
+    assert not any(r["may"] for r in met if alike(r["id"], r["other"]) < 0.7)
+
+
 def test_many_variants_of_a_line(spark):
     rng = random.Random(47)
     base = prose(30, rng)
