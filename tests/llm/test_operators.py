@@ -295,6 +295,14 @@ def test_bounds_on_pairs_of_lines(spark):
     met = side("x").join(side("y"), "family").filter("x.id < y.id").select("x.id", F.col("y.id").alias("other"), lines._could_link("x", "y", 80).alias("may")).collect()
     assert len(met) == 40 * 15 and all(r["may"] for r in met if alike(r["id"], r["other"]) >= 0.8)
     assert not any(r["may"] for r in met if alike(r["id"], r["other"]) < 0.7)
+    # short lines of similarity 0.5
+    short = []
+    for _ in range(40):
+        words = [word() for _ in range(4)]
+        short += [(len(short), " ".join(words)), (len(short) + 1, " ".join([*words[:3], word()]))]
+    about = lines._fine(spark.createDataFrame(short, "id long, line string"), 10).select(F.floor(F.col("id") / 2).alias("pair"), F.struct("*").alias("x"))
+    both = about.join(about.select("pair", F.col("x").alias("y")), "pair").filter("x.id < y.id")
+    assert both.count() == 40 and both.filter(lines._could_link("x", "y", 80)).isEmpty()
 
 
 def test_many_variants_of_a_line(spark):
