@@ -408,6 +408,36 @@ def test_edited_passages_are_verified():
     assert not passages.verified(_shingled(fresh(80) + passage + fresh(80)), _shingled(fresh(80) + passage + fresh(80)), 46, 80)
 
 
+def _slow_chain(first, place, sizes):
+    """The heaviest chain by comparing all runs; of equal ones the first."""
+    weight, previous = sizes.tolist(), [-1] * len(first)
+    for i in range(len(first)):
+        fits = [j for j in range(i) if place[j] + sizes[j] <= place[i]]
+        if fits:
+            previous[i] = max(fits, key=lambda j: (weight[j], -j))
+            weight[i] += weight[previous[i]]
+    out, i = [], weight.index(max(weight))
+    while i >= 0:
+        out.append(i)
+        i = previous[i]
+    return out[::-1]
+
+
+def test_chains_of_runs(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40, 90):
+        for span in (n, 10 * n):
+            sizes = rng.integers(1, 5, n)
+            first, place = np.cumsum(sizes + 1) - sizes, rng.integers(0, span, n)
+            assert passages._chain(first, place, sizes).tolist() == _slow_chain(first, place, sizes)
+    # two texts of the same sentences in different orders: once the heaviest chain is too light for a passage, others aren't looked for
+    calls, chain = [], passages._chain
+    monkeypatch.setattr(passages, "_chain", lambda *x: calls.append(1) or chain(*x))
+    sentences = [rng.integers(0, 1 << 63, 4, np.uint64) for _ in range(60)]
+    a, b = (np.concatenate([np.append(sentences[i], rng.integers(0, 1 << 63, 1, np.uint64)) for i in order]) for order in (range(60), range(59, -1, -1)))
+    assert not passages.verified(a, b, 46, 80) and len(calls) == 1
+
+
 def test_edited_passages_are_found(spark):
     rng = random.Random(12)
     fresh = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
