@@ -321,6 +321,15 @@ def test_odd_numbers_of_shingles(spark):
     assert both.count() == 60 and may >= {*range(0, 60, 2)} and len(may) < 33
 
 
+def test_pairs_of_lines_leave_one_bucket(spark):
+    """Lines that share several buckets meet in one of them only."""
+    line = "the quick brown fox jumps over the lazy dog and runs away"
+    about = lines._fine(spark.createDataFrame([(i, f"{line} {i}") for i in range(6)], "id long, line string"), 10)
+    dealt = spark.createDataFrame([(b, i, [*range(1, 5 + i)]) for i in range(6) for b in range(1, 5 + i)], "bucket long, id long, buckets array<long>")
+    rest = dealt.join(about, "id").select("bucket", F.struct("id", F.col("id").alias("component"), "buckets", *about.columns[1:]).alias("x"))
+    assert sorted(map(tuple, lines._met(rest, 80).collect())) == [(i, j) for i in range(6) for j in range(i + 1, 6)]
+
+
 def test_many_variants_of_a_line(spark):
     rng = random.Random(47)
     base = prose(30, rng)
