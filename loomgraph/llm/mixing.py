@@ -74,9 +74,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = clean.groupBy("domain").count().collect()
     sizes = [sum(r["count"] for r in share if r["domain"] == i) for i in range(len(DOMAINS))]
     total = sum((F.col(f"n{i}") for i in range(len(DOMAINS))), F.lit(0))
-    smoothed = BUCKETS / 2
-    weights = [(F.log((F.col(f"n{i}") + 0.5) / (mass[i] + smoothed)) - F.log((total + 0.5) / (sum(mass) + smoothed))).alias(f"w{i}") for i in range(len(DOMAINS))]
     expected = [total * (m / max(sum(mass), 1.0)) for m in mass]
+    # smoothed by half a document on both sides: a token that all domains have alike weighs nothing, however many labelled documents each domain has
+    weights = [F.log((F.col(f"n{i}") + 0.5) / (e + 0.5)).alias(f"w{i}") for i, e in enumerate(expected)]
     clear = F.greatest(*[F.abs(F.col(f"n{i}") - e) / F.sqrt(e + 1) for i, e in enumerate(expected)]) >= least_deviation
     common = F.greatest(*[F.col(f"n{i}") / max(x, 1) for i, x in enumerate(n)]) >= least_share
     table_ = counted.filter(common & clear).select("bucket", *weights)

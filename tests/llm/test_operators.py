@@ -616,6 +616,19 @@ def test_mixing(spark, docs, nothing):
     assert mixing.rates(nothing, labels).isEmpty() and mixing.mix(nothing, labels).isEmpty()
 
 
+def test_evidence_follows_shares_not_labels(spark):
+    """A word that a small domain has three times as often as a large one speaks for the small one, and one that all have alike for none."""
+    made = [(i, f"{prose(30)} common {'tilt' if i % 4 < (3 if i >= 400 else 1) else ''} {'scum' if i >= 400 and i % 4 < 2 else ''}", 2 if i >= 400 else 0) for i in range(460)]
+    df = spark.createDataFrame(made, "doc_id long, text string, domain int")
+    table, priors = mixing.fit(df, df.select("doc_id", "domain"))
+    bucket = {w: spark.range(1).select(mixing._bucket(F.lit(w))).first()[0] for w in ("common", "tilt", "scum")}
+    found = {r["bucket"]: r for r in table.collect()}
+    assert bucket["common"] not in found
+    assert all(found[bucket[w]]["w2"] > 0 > found[bucket[w]]["w0"] for w in ("tilt", "scum"))
+    toxic = {r["k"] for r in mixing.posteriors(df, table, priors).filter("p2 > 0.5").collect()}
+    assert {i for i, text, _ in made if "scum" in text} <= toxic and not any(i < 400 and "tilt" not in text and i in toxic for i, text, _ in made)
+
+
 def test_targets_are_met_under_skewed_shares(spark):
     shares = (0.01, 0.8, 0.19)
     rows = [(100 + i % 7, *[0.98 if j == k else 0.01 for j in range(3)]) for k, share in enumerate(shares) for i in range(int(2000 * share))]
