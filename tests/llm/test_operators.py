@@ -616,6 +616,23 @@ def test_mixing(spark, docs, nothing):
     assert mixing.rates(nothing, labels).isEmpty() and mixing.mix(nothing, labels).isEmpty()
 
 
+def test_lines_are_dealt_out_once_in_a_write(spark, monkeypatch):
+    """No write of the line dedup keeps two shuffles of all buckets on disk, and tables of whole lines are written with zstd."""
+    dealt, codecs, write = {}, {}, lines.materialize
+
+    def looked(df, label="cut", compression="snappy"):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        dealt[label], codecs[label] = max(dealt.get(label, 0), plan.count("explode(buckets")), compression
+        return write(df, label, compression)
+
+    monkeypatch.setattr(lines, "materialize", looked)
+    line = prose(30)
+    df = spark.createDataFrame([(1, line), (2, line + " x"), (3, prose(30))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in lines.line_report(df).collect()} == {1: 0, 2: 1, 3: 0}
+    assert dealt["ends"] == dealt["members"] == 1
+    assert codecs["occurrences"] == codecs["texts"] == "zstd"
+
+
 def test_evidence_follows_shares_not_labels(spark):
     """A word that a small domain has three times as often as a large one speaks for the small one, and one that all have alike for none."""
     made = [(i, f"{prose(30)} common {'tilt' if i % 4 < (3 if i >= 400 else 1) else ''} {'scum' if i >= 400 and i % 4 < 2 else ''}", 2 if i >= 400 else 0) for i in range(460)]
