@@ -562,6 +562,30 @@ def test_rarest_shingles_of_a_window():
     assert passages.candidate_stretches(np.repeat([False, True, False], (60, 42, 60)), 46, 80) == [(60, 101)]
 
 
+def test_stretches_that_no_near_duplicate_can_have():
+    """Repeats in a row count once, and a near duplicate lacks shingles on its own side of a gap; what is near a duplicate stays."""
+    rng = random.Random(29)
+    fresh = lambda n: [f"w{rng.randrange(10**8)}" for _ in range(n)]
+    told = lambda a, b: passages.candidate_stretches(np.isin(x := _shingled(a), _shingled(b)), 46, 80, x, passages.lacking_at_gaps(passages.word_hashes(" ".join(a)), 5))
+    # one word 47 times is 43 equal shingles, and no stretch of 46 positions has a similarity of 0.8 with a text that has the word six times
+    assert told(fresh(60) + ["be"] * 47 + fresh(60), fresh(40) + ["be"] * 6 + fresh(40)) == []
+    assert told(fresh(60) + ["be"] * 55 + fresh(60), fresh(40) + ["be"] * 6 + fresh(40)) == [(60, 110)]
+    for every, found in ((20, False), (60, True)):
+        passage = fresh(240)
+        changed = [x if i % every != every // 2 else "x" for i, x in enumerate(passage)]
+        a, b = fresh(60) + passage + fresh(60), fresh(60) + changed + fresh(60)
+        assert bool(told(a, b)) is bool(passages.verified(_shingled(a), _shingled(b), 46, 80)) is found
+    for _ in range(200):
+        passage = [f"v{rng.randrange(rng.choice((20, 10**6)))}" for _ in range(rng.randint(50, 150))]
+        changed = [*passage]
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(changed))
+            changed[k : k + rng.randint(0, 3)] = fresh(rng.randint(0, 3))
+        a, b = fresh(30) + passage + fresh(30), fresh(40) + changed + fresh(40)
+        for low, high, *_ in passages.verified(_shingled(a), _shingled(b), 46, 80):
+            assert any(x <= high and low <= y for x, y in told(a, b))
+
+
 def _plain_grams(text):
     words = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split()
     joined = " " + " ".join(words) + " "
